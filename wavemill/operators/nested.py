@@ -147,7 +147,9 @@ def _clean(value: str | None) -> str | None:
 def once(df: DataFrame, key: str, *rest: str, arrival: str | None = None) -> DataFrame:
     """One row per ``key``: of repeats the first to arrive. Rows with a null key are left out."""
     order = F.struct(*[F.col(arrival)] if arrival else [], *rest)
-    picked = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_r"))
+    # A fixed number of partitions: what follows is work for Python, too much for the few that the small bytes suggest.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    picked = df.where(F.col(key).isNotNull()).repartition(n, key).groupBy(key).agg(F.min(order).alias("_r"))
     return picked.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
