@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavemill.llm import harm
 from wavemill.llm import percentiles as pct
+from wavemill.llm.leaks import find_leaks
+from wavemill.llm.mixing import mix
 from wavemill.llm.runs import collapse_runs
+from wavemill.llm.splits import capture_groups, capture_splits
 from wavemill.sources.tables import table
 
 
@@ -61,12 +65,59 @@ def p3_days_merged(spark: SparkSession, folder: str) -> DataFrame:
     return pct.merged_percentiles(days, ["cell_index"], LATENCY_PCTS)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    together = capture_groups(table(spark, folder, "captures"), table(spark, folder, "regions"))
+    return together.where("component <> stem").select(F.col("component").alias("group_stem"), "stem")
+
+
+def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return capture_splits(table(spark, folder, "captures"), table(spark, folder, "regions"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_leaks(spark, folder).where("distance = 0").select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Also passages with one word changed, left out or put in."""
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return harm.scored(table(spark, folder, "documents"), table(spark, folder, "doc_labels"), table(spark, folder, "term_list"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).where(F.col("score") >= harm.THRESHOLD).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return harm.rates(p8_scores(spark, folder))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_runs": p2_runs,
     "p3_found": p3_found,
     "p3_quantiles": p3_quantiles,
     "p3_days_merged": p3_days_merged,
+    "p4_found": p4_found,
+    "p4_splits": p4_splits,
+    "p6_found": p6_found,
+    "p6_leaks": p6_leaks,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 
 _RUNS = """
