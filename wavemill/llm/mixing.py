@@ -72,7 +72,7 @@ def source_name(c: Column) -> Column:
     return F.when(s != "", s)
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, strict: bool = False, seed: int = 0, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The chosen documents and the shares reached.
 
     Chosen: ``doc_id, source, tokens, copies`` (at least 1). Shares: ``source,
@@ -82,12 +82,14 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     A document counts once however often it was delivered (the same id); ids
     that are null, and sources that are null or not listed, aren't used. A
     listed source without tokens can't contribute: the others keep their
-    proportions. Without ``total_tokens`` the mixture is the largest that hits
-    all shares with no document used more than its source's ``max_repeats``
-    times. With it, sources at their limit fall short and the others fill up, in
-    proportion, as far as their own limits go. A null or negative share or
-    limit counts as 0, a source listed twice has the sum of the shares and the
-    smaller limit.
+    proportions. The mixture has ``total_tokens``, or else as many as the listed
+    sources have together. Sources whose limit keeps them from their share give
+    all they may, ``max_repeats`` times each document, and the others fill up, in
+    proportion to their shares, as far as their own limits go; the shares
+    reached are reported. With ``strict`` the mixture is instead the largest one
+    in which no source falls short, which the scarcest source decides.
+    A null or negative share or limit counts as 0, a source listed twice has the
+    sum of the shares and the smaller limit.
     """
     once = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id"), source_name(F.col("source")).alias("source"), "text")
     wanted = targets.groupBy(source_name(F.col("source")).alias("source")).agg(
@@ -98,7 +100,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     counted = token_counts(listed, "text", F.col("doc_id"), F.col("source"), folder=folder, vocabulary=vocabulary)
     counted = written(counted.groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("r")).select("doc_id", "r.source", "r.tokens"), "tokens")
     per = counted.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").cast("double").alias("available"))
-    rates = _rates(wanted.join(per, "source", "left").fillna(0, ["n_docs", "available"]), total_tokens)
+    rates = _rates(wanted.join(per, "source", "left").fillna(0, ["n_docs", "available"]), total_tokens, strict)
     rates = written(rates, "rates")
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_HASH_RANGE)) / F.lit(float(_HASH_RANGE))
     copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
@@ -111,22 +113,23 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     return chosen, report.select("source", "target_share", "n_docs", F.col("available").cast("long").alias("available_tokens"), "rate", share("expected").alias("expected_share"), "used_docs", "used_tokens", share("used_tokens").alias("share"))
 
 
-def _rates(sources: DataFrame, total: int | None) -> DataFrame:
+def _rates(sources: DataFrame, total: int | None, strict: bool) -> DataFrame:
     """With ``rate`` per source: its wanted tokens over those it has, at most its limit. One row per listed source passes through here."""
     able = F.col("available") * F.col("most")
     can = (F.col("target_share") > 0) & (able > 0)
     rows = sources.withColumn("limit", F.when(can, able / F.col("target_share")))  # the total at which the source is used up
     whole = Window.partitionBy(F.lit(0))
-    if total is None:
+    if strict:
         wanted = F.min("limit").over(whole)
         return rows.withColumn("rate", F.when(can, F.least(F.col("target_share") * wanted / F.col("available"), F.col("most"))).otherwise(0.0)).drop("limit", "most")
     # Those used up first, in order of their limit: with level x a source gives min(able, share * x).
     first = whole.orderBy(F.col("limit").asc_nulls_last(), "source")
     below, here = first.rowsBetween(Window.unboundedPreceding, -1), first.rowsBetween(0, Window.unboundedFollowing)
     rows = rows.withColumn("able", F.when(can, able).otherwise(0.0)).withColumn("w", F.when(can, F.col("target_share")).otherwise(0.0))
-    level = (F.lit(float(total)) - F.coalesce(F.sum("able").over(below), F.lit(0.0))) / F.nullif(F.sum("w").over(here), F.lit(0.0))
+    wanted = F.sum("available").over(whole) if total is None else F.lit(float(total))
+    level = (wanted - F.coalesce(F.sum("able").over(below), F.lit(0.0))) / F.nullif(F.sum("w").over(here), F.lit(0.0))
     rows = rows.withColumn("level", level)
-    final = F.min(F.when(F.col("level") <= F.col("limit"), F.col("level"))).over(whole)
+    final = F.min_by("level", F.when(F.col("level") <= F.col("limit"), F.struct("limit", "source"))).over(whole)
     rows = rows.withColumn("final", final)
     given = F.least("able", F.coalesce(F.col("w") * F.col("final"), F.col("able")))
     return rows.withColumn("rate", F.when(can, given / F.col("available")).otherwise(0.0)).drop("limit", "able", "w", "level", "final", "most")
