@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 def dense(cells: DataFrame, frames: DataFrame, rows: int, cols: int, fill: float = 0.0) -> DataFrame:
     """Every cell of every frame; cells without a value have ``fill``."""
     all_cells = frames.select("frame").distinct().select("frame", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("col"))
-    return all_cells.join(cells, ["frame", "row", "col"], "left").fillna(fill, ["value"])
+    # By frame: lines and columns of a frame are then in one place, and all windows over them need no further shuffle.
+    return all_cells.join(cells, ["frame", "row", "col"], "left").fillna(fill, ["value"]).repartition("frame")
 
 
 def _line(along: str, radius: int) -> Window:

@@ -43,4 +43,4 @@ def complement(merged: DataFrame, keys: list[str], start: str, stop: str, low: C
         F.struct(F.coalesce(F.lag(stop).over(w), low).alias("gap_start"), F.col(start).alias("gap_stop")),
         F.struct(F.when(F.lead(start).over(w).isNull(), F.col(stop)).alias("gap_start"), high.alias("gap_stop")),
     )
-    return merged.select(*keys, F.inline(edges)).where(F.col("gap_start") < F.col("gap_stop"))
+    return merged.select(*keys, edges.alias("_edges")).select(*keys, F.inline("_edges")).where(F.col("gap_start") < F.col("gap_stop"))
