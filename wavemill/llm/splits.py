@@ -18,24 +18,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.session import small_side, written
+from wavemill.session import small_side, within, written
 
 HOT_DEGREE, SALTS = 10_000, 32
 HEAVY_SHARE, STRATA, BUCKETS = 1_000, 64, 1_024
 
 
-def _salt(edges: DataFrame, key: str, other: str, name: str) -> DataFrame:
-    """A column that spreads the edges of each hot ``key``, and 0 for all other keys."""
-    hot = edges.groupBy(key).count().where(F.col("count") > HOT_DEGREE).select(key, F.lit(True).alias("_hot"))
+def _hot(edges: DataFrame, key: str) -> DataFrame | None:
+    """The keys with many edges, if there are any; at most one per ``HOT_DEGREE`` edges."""
+    hot = written(edges.groupBy(key).count().where(F.col("count") > HOT_DEGREE).select(key), "hot")
+    return None if hot.isEmpty() else small_side(hot)
+
+
+def _salted(edges: DataFrame, key: str, other: str, hot: DataFrame | None, name: str) -> DataFrame:
+    """``edges`` with a column that spreads those of each hot key, 0 for all other keys."""
+    if hot is None:
+        return edges.withColumn(name, F.lit(0))
     spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    return edges.join(small_side(hot), key, "left").withColumn(name, spread).drop("_hot")
+    return edges.join(hot.withColumn("_hot", F.lit(True)), key, "left").withColumn(name, spread).drop("_hot")
 
 
-def _to_edges(edges: DataFrame, values: DataFrame, key: str, salt: str) -> DataFrame:
-    """Join one value per ``key`` to its edges, a hot key's in pieces."""
-    hot = edges.where(F.col(salt) > 0).select(key).distinct().withColumn("_hot", F.lit(True))
-    copies = values.join(small_side(hot), key, "left").withColumn(salt, F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return edges.join(copies, [key, salt])
+def _onto(edges: DataFrame, values: DataFrame, key: str, hot: DataFrame | None, salt: str) -> DataFrame:
+    """Join one value per key to the key's edges, a hot key's in ``SALTS`` pieces."""
+    if hot is None:
+        return edges.join(values, key)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    values = values.join(hot.withColumn("_hot", F.lit(True)), key, "left").withColumn(salt, F.explode(copies)).drop("_hot")
+    return edges.join(values, [key, salt])
 
 
 def components(records: DataFrame, edges: DataFrame, record: str, entity: str) -> DataFrame:
@@ -45,33 +54,27 @@ def components(records: DataFrame, edges: DataFrame, record: str, entity: str) -
     and pairs with a null don't matter. Records without an edge are alone.
     """
     all_records = records.select(F.col(record).alias("r")).where("r is not null").distinct()
-    pairs = edges.select(F.col(record).alias("r"), F.col(entity).alias("e")).dropna().distinct()
-    pairs = written(pairs, "pairs")
+    pairs = written(edges.select(F.col(record).alias("r"), F.col(entity).alias("e")).dropna().distinct(), "pairs")
     shared = pairs.groupBy("e").agg(F.min("r").alias("_a"), F.max("r").alias("_b")).where("_a < _b").select("e")  # the others join nothing
-    pairs = written(_salt(_salt(pairs.join(shared, "e", "left_semi"), "e", "r", "salt_e"), "r", "e", "salt_r"), "pairs")
-    labels = written(pairs.select("r").distinct().withColumn("label", F.col("r")), "labels")
+    pairs = pairs.join(shared, "e", "left_semi")
+    hot_e, hot_r = _hot(pairs, "e"), _hot(pairs, "r")
+    pairs = written(_salted(_salted(pairs, "e", "r", hot_e, "salt_e"), "r", "e", hot_r, "salt_r"), "pairs")
+    labels = written(pairs.select("r").distinct().withColumn("label", F.col("r")).withColumn("was", F.lit("")), "labels").select("r", "label")
+    few = within(labels)
     while True:
-        told = _to_edges(pairs, labels, "r", "salt_r")
-        least = told.groupBy("e").agg(F.min("label").alias("least"))
-        heard = _to_edges(pairs, least, "e", "salt_e").groupBy("r").agg(F.min("least").alias("heard"))
-        after = labels.join(heard, "r").select("r", "label", F.least("label", "heard").alias("new"))
-        after = written(after, "heard")
-        further = after.select(F.col("r").alias("new"), F.col("new").alias("further"))
-        # A popular label is the key of many rows: one of few labels at a time is looked up, spread by the record.
-        jumped = written(after.join(_label_lookup(after, further), "new", "left").select("r", "label", F.least("new", F.coalesce("further", "new")).alias("new")), "labels")
-        done = jumped.where("new <> label").isEmpty()
-        labels = jumped.select("r", F.col("new").alias("label"))
-        if done:
+        least = _onto(pairs, labels, "r", hot_r, "salt_r").groupBy("e").agg(F.min("label").alias("least"))
+        heard = _onto(pairs, least, "e", hot_e, "salt_e").groupBy("r").agg(F.min("least").alias("heard"))
+        # The label that the heard record itself has is as good, and may be smaller.
+        further = labels.select(F.col("r").alias("heard"), F.col("label").alias("further"))
+        further = F.broadcast(further) if few else further
+        new = labels.join(heard, "r").join(further, "heard").select("r", F.least("label", "heard", "further").alias("label"), F.col("label").alias("was"))
+        new = written(new, "labels")
+        labels = new.select("r", "label")
+        if new.where("label <> was").isEmpty():
             break
     return all_records.join(labels, "r", "left").select(F.col("r").alias(record), F.coalesce("label", "r").alias("component"))
 
 
-def _label_lookup(after: DataFrame, further: DataFrame) -> DataFrame:
-    """The labels of those records that are labels themselves; broadcast if few."""
-    used = after.select("new").distinct()
-    return small_side(further.join(used, "new", "left_semi"))
-
-
 def assign(sizes: DataFrame, unit: str, label: str, weight: str, shares: dict[str, float], seed: int = 0) -> DataFrame:
     """``unit, split``: each unit whole in one split, near the given shares of the weight, overall and per label.
 
