@@ -135,7 +135,23 @@ runs AS (SELECT stem, channel, k, arg_min(start, (coalesce(frame_number, -1), st
 
 _LATENCY = "l AS (SELECT DISTINCT sample_id, cell_index, latency_ms AS v FROM latency_samples WHERE latency_ms >= 0 AND NOT isnan(latency_ms)), r AS (SELECT cell_index, v, row_number() OVER (PARTITION BY cell_index ORDER BY v) AS k, count(*) OVER (PARTITION BY cell_index) AS n FROM l)"
 
+def _plain(c: str) -> str:
+    """SQL of a capture's plain name."""
+    s = f"regexp_replace(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '^.*[/\\\\]', '')"
+    s = f"regexp_replace(lower({s}), '\\.sigmf([-_ ]?(meta|data))?$', '')"
+    return f"regexp_replace(regexp_replace({s}, '[\\s\\-_.]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
 ORACLE = {
+    "p4_found": f"""
+WITH RECURSIVE caps AS (SELECT DISTINCT stem, {_plain('stem')} AS p FROM captures WHERE stem IS NOT NULL),
+raw AS (SELECT DISTINCT coalesce(stem, regexp_replace(frame_id, '#[^#]*$', '')) AS s, time_group FROM regions WHERE time_group IS NOT NULL AND time_group <> 0),
+e AS (SELECT caps.stem, 't:' || time_group AS e FROM raw JOIN caps ON caps.p = {_plain('raw.s')}
+      UNION SELECT stem, 's:' || split_part(stem, '_attenuation_dB_', 1) FROM caps WHERE contains(stem, '_attenuation_dB_')),
+pairs AS (SELECT DISTINCT a.stem AS x, b.stem AS y FROM e a JOIN e b USING (e)),
+reach AS (SELECT x, y FROM pairs UNION SELECT reach.x, pairs.y FROM reach JOIN pairs ON pairs.x = reach.y)
+SELECT min(y) AS group_stem, x AS stem FROM reach GROUP BY x HAVING min(y) <> x
+""",
     "p2_found": _RUNS + "SELECT stem, channel, first_sample, last_sample FROM runs WHERE n >= 2",
     "p2_runs": _RUNS + "SELECT stem, channel, first_sample, last_sample, n AS n_events, stop - first_sample AS duration_samples FROM runs",
     "p3_found": f"""
