@@ -73,3 +73,17 @@ def test_band_occupancy_rules(spark):
     ]
     empty = spark.createDataFrame([], ANN)
     assert band_occupancy(empty, cap, bands).count() == 0
+
+
+def test_many_bands_give_the_same(spark, monkeypatch):
+    from wavemill.operators import occupancy
+
+    rng = np.random.default_rng(1)
+    ann = [(f"s{i % 3}", i, int(a), int(c), float(f), float(f + w), 0, "x") for i, (a, c, f, w) in enumerate(zip(rng.integers(0, 900, 80), rng.integers(0, 90, 80), rng.integers(-60, 60, 80), rng.integers(1, 30, 80), strict=True))]
+    ann.append(("s0", 99, 5, 5, float("-inf"), float("inf"), 0, "x"))
+    df = spark.createDataFrame(ann, ANN)
+    cap = spark.createDataFrame([(f"s{i}", 1000) for i in range(3)], "stem string, n_samples long")
+    bands = spark.createDataFrame([(i, float(10 * i - 50), float(10 * i - 42)) for i in range(10)], "band_id int, band_lower_hz double, band_upper_hz double")
+    few = sorted(tuple(r) for r in band_occupancy(df, cap, bands).collect())
+    monkeypatch.setattr(occupancy, "BAND_ROWS", 1)
+    assert sorted(tuple(r) for r in band_occupancy(df, cap, bands).collect()) == few

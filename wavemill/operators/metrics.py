@@ -71,3 +71,15 @@ def mad_outliers(df: DataFrame, keys: list[str], value: str, tie: list[str], k:
     off = rows.join(m, keys).withColumn("_off", F.abs(F.col(value) - F.col("median")))
     both = off.join(median(off, "_off", "mad"), keys)
     return both.withColumn("hit", F.col(value) > F.col("median") + k * (F.col("mad") * 1.4826 + 1e-6)).drop("_off")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, tie: list[str], wanted: dict[str, float], count: str | None = None) -> DataFrame:
+    """Exact quantiles per key, interpolated at ``q * (n - 1)``: ``keys``, a column per name, and the number of values under ``count``. By a distributed sort, so groups may be of any size; without keys, of all rows."""
+    rows = numbered(df.where(F.col(value).isNotNull()).select(*keys, value, *tie), keys, [value, *tie])
+    out = [F.max("n_rows").alias(count)] if count else []
+    for name, q in wanted.items():
+        h = F.lit(q) * (F.col("n_rows") - 1)
+        low = F.floor(h)
+        share = F.when(F.col("row_no") - 1 == low, 1 - (h - low)).when(F.col("row_no") - 2 == low, h - low)
+        out.append(F.sum(F.col(value) * share).alias(name))
+    return rows.groupBy(*keys).agg(*out)

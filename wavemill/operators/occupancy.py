@@ -9,7 +9,7 @@ from wavemill.operators.dyadic import CELL_BITS, busy_and_gaps
 from wavemill.operators.intervals import overlap_join
 from wavemill.session import within
 
-BAND_ROWS = 1_000
+BAND_ROWS, BUCKETS = 1_000, 4_096
 
 
 def band_occupancy(annotations: DataFrame, captures: DataFrame, bands: DataFrame, cell_bits: int = CELL_BITS) -> DataFrame:
@@ -36,8 +36,13 @@ def band_occupancy(annotations: DataFrame, captures: DataFrame, bands: DataFrame
     b = bands.select("band_id", F.col("band_lower_hz").alias("b_low"), F.col("band_upper_hz").alias("b_high")).dropna().distinct()
     if within(b, BAND_ROWS):  # few bands: each annotation is held against all of them where it lies
         found = a.join(F.broadcast(b), (a["low"] < b["b_high"]) & (a["high"] > b["b_low"]))
-    else:
-        found = overlap_join(a, b, ("low", "high"), ("b_low", "b_high"), width=1e6)
+    else:  # by buckets of frequency, within what the bands span
+        span = b.agg(F.min("b_low").alias("low"), F.max("b_high").alias("high")).first()
+        near = a.where((F.col("low") < span["high"]) & (F.col("high") > span["low"]))
+        near = near.withColumn("from", F.greatest("low", F.lit(span["low"] - 1.0)))
+        near = near.withColumn("to", F.least(F.greatest("high", F.col("from") + 1e-3), F.lit(span["high"] + 1.0)))
+        found = overlap_join(near, b, ("from", "to"), ("b_low", "b_high"), width=max(1.0, (span["high"] - span["low"]) / BUCKETS))
+        found = found.where((F.col("low") < F.col("b_high")) & (F.col("high") > F.col("b_low")))
     stop: Column = F.when(F.col("count") == 0, F.col("extent")).otherwise(F.col("start") + F.col("count"))
     found = found.select("stem", "band_id", "start", "count").join(c, "stem")
     return busy_and_gaps(found, ["stem", "band_id"], "start", stop, "extent", cell_bits)

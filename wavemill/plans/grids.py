@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.operators import grids as G
+from wavemill.operators.metrics import quantiles
 from wavemill.plans.registry import Registry
 from wavemill.sources.tables import table
 
@@ -113,10 +114,13 @@ def flatness(spark, folder):
     return g.groupBy("frame").agg(F.round(F.avg(F.when(F.col("ring") == 0, F.col("value"))) / F.avg(F.when(F.col("ring") >= 4, F.col("value"))), 6).alias("edge_ratio"), F.round(F.stddev_pop("value") / F.avg("value"), 6).alias("variation"))
 
 
-@query(f"""WITH {_GRID} SELECT "row", col, median(value) AS median, quantile_cont(value, 0.9) AS q90, round(avg(value), 6) AS mean FROM g GROUP BY 1, 2""")
+@query(f"""WITH {_GRID} SELECT "row", col, round(median(value), 6) AS median, round(quantile_cont(value, 0.9), 6) AS q90, round(avg(value), 6) AS mean FROM g GROUP BY 1, 2""")
 def positional_template(spark, folder):
     """Per cell position the median, 90 % quantile and mean over frames."""
-    return grid(spark, folder).groupBy("row", "col").agg(F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.9)).alias("q90"), F.round(F.avg("value"), 6).alias("mean"))
+    g = grid(spark, folder)
+    q = quantiles(g, ["row", "col"], "value", ["frame"], {"median": 0.5, "q90": 0.9})
+    q = q.select("row", "col", F.round("median", 6).alias("median"), F.round("q90", 6).alias("q90"))
+    return q.join(g.groupBy("row", "col").agg(F.round(F.avg("value"), 6).alias("mean")), ["row", "col"])
 
 
 @query(f"""WITH {_GRID} SELECT frame, "row", round(avg(least(value, 40)), 6) AS capped_mean, round(avg(value) + 3 * stddev_pop(value), 6) AS floor, count(*) FILTER (WHERE value <> 0) AS n_set, max(value) AS most FROM g GROUP BY 1, 2""")

@@ -74,7 +74,9 @@ SELECT m.detector, m.file_stem, m.frame_number, round(avg(cal.snr0 - m.attenuati
 def frame_snr(spark, folder):
     """Calibrated level per class and bandwidth, looked up (a miss is null), less the attenuation, averaged over each frame."""
     m = _metrics(spark, folder)
-    cal = m.where("attenuation_db = 0 and mask_present and coverage is not null").groupBy("signal_class", "bandwidth_bucket").agg(F.percentile("coverage", F.lit(0.5)).alias("snr0"), F.count(F.lit(1)).alias("n_cal")).where("n_cal >= 3")
+    loud = m.where("attenuation_db = 0 and mask_present and coverage is not null")
+    enough = loud.groupBy("signal_class", "bandwidth_bucket").agg(F.count(F.lit(1)).alias("n_cal")).where("n_cal >= 3")
+    cal = M.quantiles(loud, ["signal_class", "bandwidth_bucket"], "coverage", _KEYS, {"snr0": 0.5}).join(enough, ["signal_class", "bandwidth_bucket"])
     j = m.join(small_side(cal), ["signal_class", "bandwidth_bucket"], "left")
     return j.groupBy("detector", "file_stem", "frame_number").agg(F.round(F.avg(F.col("snr0") - F.col("attenuation_db")), 9).alias("mean_snr"), F.count(F.lit(1)).alias("n"), F.count("snr0").alias("n_known"))
 

@@ -65,3 +65,25 @@ def count_batches(stream: DataFrame, channel: str, time: str, late: str, value:
 
     s = stream.withWatermark(time, late).select(channel, time, F.unix_millis(F.col(time).cast("timestamp")).alias("_ms"), F.col(value).cast("double").alias("_v"))
     return s.groupBy(channel).applyInPandasWithState(step, schema, "number long, n long, total double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def dead_zone(stream: DataFrame, key: str, row: str, time: str, value: str, zone: float) -> DataFrame:
+    """``key, row, kept``: the last value that was more than ``zone`` away from the one kept before. State per key: the kept value.
+
+    Rows of one micro-batch are taken in order of time, ties in order of ``row``.
+    """
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, row)}
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = state.get[0] if state.exists else None
+        batch = pd.concat(list(parts)).sort_values([time, row])
+        out = []
+        for r, v in zip(batch[row].tolist(), batch[value].tolist(), strict=True):
+            if kept is None or abs(v - kept) > zone:
+                kept = v
+            out.append((k[0], r, kept))
+        state.update((kept,))
+        yield pd.DataFrame(out, columns=[key, row, "kept"])
+
+    schema = f"{key} {kinds[key]}, {row} {kinds[row]}, kept double"
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "kept double", "append", GroupStateTimeout.NoTimeout)
