@@ -63,6 +63,7 @@ def test_band_occupancy_rules(spark):
         ("a", 2, 90, 0, 5.0, 6.0, 9, "x"),  # up to the end
         ("a", 3, 1, -1, 5.0, 6.0, 9, "x"), ("a", 4, None, 5, 5.0, 6.0, 9, "x"), ("a", 5, 1, 5, None, 6.0, 9, "x"), ("a", 6, 1, 5, nan, 6.0, 9, "x"),
         ("a", 7, -5, 7, 30.0, 31.0, 9, "x"), ("none", 8, 1, 5, 5.0, 6.0, 9, "x"), (None, 9, 1, 5, 5.0, 6.0, 9, "x"), ("a", 10, 100, 5, 5.0, 6.0, 9, "x"),
+        ("a", 11, 95, 2**63 - 1, 5.0, 6.0, 9, "x"), ("a", 12, -(2**63), 5, 5.0, 6.0, 9, "x"),
     ]
     cap = spark.createDataFrame([("a", 100), ("a", 100), ("b", 50), (None, 7)], "stem string, n_samples long")
     bands = spark.createDataFrame([(1, 0.0, 20.0), (2, 20.0, 40.0), (3, 10.0, 12.0), (None, None, None)], "band_id int, band_lower_hz double, band_upper_hz double")

@@ -43,6 +43,6 @@ def band_occupancy(annotations: DataFrame, captures: DataFrame, bands: DataFrame
         near = near.withColumn("to", F.least(F.greatest("high", F.col("from") + 1e-3), F.lit(span["high"] + 1.0)))
         found = overlap_join(near, b, ("from", "to"), ("b_low", "b_high"), width=max(1.0, (span["high"] - span["low"]) / BUCKETS))
         found = found.where((F.col("low") < F.col("b_high")) & (F.col("high") > F.col("b_low")))
-    stop: Column = F.when(F.col("count") == 0, F.col("extent")).otherwise(F.col("start") + F.col("count"))
+    stop: Column = F.when(F.col("count") == 0, F.col("extent")).otherwise(F.coalesce(F.try_add("start", "count"), "extent"))
     found = found.select("stem", "band_id", "start", "count").join(c, "stem")
     return busy_and_gaps(found, ["stem", "band_id"], "start", stop, "extent", cell_bits)
