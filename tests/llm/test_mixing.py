@@ -51,3 +51,13 @@ def test_tokens_of_long_texts(spark):
     text = "the quick brown fox " * 20_000
     got = M.token_counts(spark.createDataFrame([(1, text), (2, None)], "i int, t string"), "t", F.col("i")).collect()
     assert {r.i: r.tokens for r in got}[2] == 0 and abs({r.i: r.tokens for r in got}[1] - M._counter(M.TOKENIZERS, M.VOCABULARY)(text)) <= 8
+
+
+def test_queries_hit_every_share(spark, data):
+    from wavemill.llm.queries import p7_mix, p7_shares
+
+    r = [x for x in p7_shares(spark, data).collect() if x.available_tokens and x.target_share]
+    whole = sum(x.target_share for x in r)
+    assert r and all(abs(x.expected_share - x.target_share / whole) < 1e-9 for x in r)
+    longest = p7_mix(spark, data).agg(F.max("tokens")).first()[0]
+    assert all(abs(x.used_tokens - x.rate * x.available_tokens) <= longest / 2 for x in r)

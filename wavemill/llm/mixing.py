@@ -2,8 +2,9 @@
 
 Tokens are counted once per document and written with its source. Tokens per
 source give each source's rate: how often its tokens are needed. A document is
-taken ``floor(rate)`` times, and once more with the probability of the rest, by
-a hash of its id; so the choice is the same on every run and in every order.
+taken ``floor(rate)`` times, and the first of each source in the order of a hash
+of the id once more, up to the rest of the tokens wanted; so a source misses its
+tokens by half a document at most, and the choice is the same on every run.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavemill.operators.ordered import running
 from wavemill.session import small_side, written
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary's texts are cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_HASH_RANGE = 2**53
 
 
 def _counter(folder: str, vocabulary: str) -> Callable[[str], int]:
@@ -102,9 +103,10 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, st
     per = counted.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").cast("double").alias("available"))
     rates = _rates(wanted.join(per, "source", "left").fillna(0, ["n_docs", "available"]), total_tokens, strict)
     rates = written(rates, "rates")
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_HASH_RANGE)) / F.lit(float(_HASH_RANGE))
-    copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    chosen = counted.join(small_side(rates.select("source", "rate")), "source").select("doc_id", "source", "tokens", copies.cast("int").alias("copies")).where("copies > 0")
+    drawn = running(counted.withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id")), ["source"], ["_draw", "doc_id"], "_upto", F.col("tokens"))
+    more = F.col("_upto") - F.col("tokens") / 2 <= (F.col("rate") - F.floor("rate")) * F.col("available")  # the middle of its tokens
+    copies = F.floor("rate") + F.when(more & (F.col("rate") > F.floor("rate")), 1).otherwise(0)
+    chosen = drawn.join(small_side(rates.select("source", "rate", "available")), "source").select("doc_id", "source", "tokens", copies.cast("int").alias("copies")).where("copies > 0")
     used = chosen.groupBy("source").agg(F.sum("copies").alias("used_docs"), F.sum(F.col("copies") * F.col("tokens")).alias("used_tokens"))
     whole = Window.partitionBy(F.lit(0))  # one row per listed source
     report = rates.join(used, "source", "left").fillna(0, ["used_docs", "used_tokens"])

@@ -84,11 +84,12 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+    """The largest mixture in which each source makes up its share."""
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), strict=True)[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), strict=True)[1]
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
