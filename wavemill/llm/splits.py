@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavemill.operators.names import region_captures
 from wavemill.session import small_side, within, written
 
 HOT_DEGREE, SALTS = 10_000, 32
@@ -141,26 +142,6 @@ def assign(sizes: DataFrame, unit: str, label: str, weight: str, shares: dict[st
 SCENE_END = "_attenuation_dB_"  # fixed value
 
 
-def plain_name(c: Column) -> Column:
-    """A capture's name without folder, file ending, case and kind of separator."""
-    s = F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"^.*[/\\]", "")
-    s = F.regexp_replace(F.lower(s), r"\.sigmf([-_ ]?(meta|data))?$", "")
-    return F.regexp_replace(F.regexp_replace(s, r"[\s\-_.]+", "_"), r"^_+|_+$", "")
-
-
-def region_captures(regions: DataFrame, captures: DataFrame, *carry: str) -> DataFrame:
-    """Each region with ``capture``, the stem it belongs to: the stem written in it, else in its frame id, exactly or else by its plain name. Regions of no capture are left out."""
-    names = captures.select("stem").where("stem is not null").distinct()
-    raw = F.coalesce(F.col("stem"), F.regexp_replace("frame_id", "#[^#]*$", ""))
-    rows = regions.select(raw.alias("_raw"), *carry)
-    spelled = rows.select("_raw").where("_raw is not null").distinct()
-    exact = names.select(F.col("stem").alias("_raw"), F.col("stem").alias("_exact"))
-    loose = names.groupBy(plain_name(F.col("stem")).alias("_plain")).agg(F.min("stem").alias("_loose"))
-    known = spelled.withColumn("_plain", plain_name(F.col("_raw"))).join(exact, "_raw", "left").join(loose, "_plain", "left")
-    known = written(known.select("_raw", F.coalesce("_exact", "_loose").alias("capture")).where("capture is not null"), "spelled")
-    return rows.join(small_side(known), "_raw").drop("_raw")
-
-
 def capture_groups(captures: DataFrame, regions: DataFrame) -> DataFrame:
     """``stem, component``: captures of one scene or with a set ``time_group`` (not null, not 0) in common are together, and so are their relatives."""
     stems = captures.select("stem").where("stem is not null").distinct()

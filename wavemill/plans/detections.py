@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wavemill.operators import boxes as B
 from wavemill.operators import intervals as I
 from wavemill.operators import rules
+from wavemill.operators.names import regions_once
 from wavemill.operators.vectors import nearest
 from wavemill.plans.registry import Registry
 from wavemill.sources.tables import table
@@ -78,15 +79,16 @@ def frequency_columns(spark, folder):
 _REG = """r AS (SELECT DISTINCT frame_id, ann_idx, kind, label, bandwidth_hz, length_samples, row0, row1, col0, col1 FROM regions WHERE frame_id IS NOT NULL AND row0 < row1 AND col0 < col1)"""
 
 
-def regions(spark: SparkSession, folder: str) -> DataFrame:
-    """Regions that name their frame, each once as spelled."""
-    r = table(spark, folder, "regions").where("frame_id is not null and row0 < row1 and col0 < col1")
-    return r.select("frame_id", "ann_idx", "kind", "label", "bandwidth_hz", "length_samples", *B.SIDES).distinct()
+def regions(spark: SparkSession, folder: str, framed: bool = True) -> DataFrame:
+    """Regions that name their frame, each once however it is spelled; without ``framed`` also those that name their capture only."""
+    r = regions_once(table(spark, folder, "regions").where("row0 < row1 and col0 < col1"), table(spark, folder, "captures"))
+    r = r.where("frame is not null") if framed else r
+    return r.select("frame_id", "capture", "ann_idx", "kind", "label", "bandwidth_hz", "length_samples", *B.SIDES)
 
 
 @query(f"""WITH {_REG} SELECT frame_id, ann_idx, round(least(greatest((col0 + col1) / 2 / 4096, 0), 1), 9) AS cx, round(least(greatest((row0 + row1) / 2 / 1024, 0), 1), 9) AS cy, round(least((col1 - col0) / 4096, 1), 9) AS w, round(least((row1 - row0) / 1024, 1), 9) AS h FROM r""")
 def normalised_boxes(spark, folder):
-    n = B.normalised(regions(spark, folder), 1024, 4096)
+    n = B.normalised(regions(spark, folder, framed=False), 1024, 4096)
     return n.select("frame_id", "ann_idx", *[F.round(c, 9).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
@@ -125,9 +127,9 @@ def top_regions(spark, folder):
 @query(f"""WITH {_REG}, {_CAP}, j AS (SELECT r.*, c.* FROM r JOIN c ON c.stem = regexp_replace(r.frame_id, '#[^#]*$', '') WHERE fc IS NOT NULL)
 SELECT frame_id, ann_idx, row0, col0, label, kind, CAST(floor(row0 / 1024 * n) AS BIGINT) AS start_sample, CAST(least(ceil(row1 / 1024 * n), n) AS BIGINT) AS stop_sample, round(fc + (col0 / 4096 - 0.5) * fs, 3) AS low_hz, round(fc + (col1 / 4096 - 0.5) * fs, 3) AS high_hz FROM j""")
 def physical_regions(spark, folder):
-    """Boxes in samples and Hz of the capture their frame names."""
+    """Boxes in samples and Hz of the capture their frame, or else their stem, names."""
     c = table(spark, folder, "captures").groupBy("stem").agg(F.max("n_samples").alias("n"), F.max("sample_rate").alias("fs"), F.max("center_freq_hz").alias("fc")).where("fc is not null")
-    r = regions(spark, folder).withColumn("stem", F.regexp_replace("frame_id", "#[^#]*$", "")).join(c, "stem")
+    r = regions(spark, folder, framed=False).withColumnRenamed("capture", "stem").join(c, "stem")
     p = B.physical(r, 1024, 4096, F.col("n"), F.col("fc"), F.col("fs"))
     return p.select("frame_id", "ann_idx", "row0", "col0", "label", "kind", "start_sample", "stop_sample", F.round("low_hz", 3).alias("low_hz"), F.round("high_hz", 3).alias("high_hz"))
 
