@@ -43,3 +43,11 @@ def test_regions_without_frame_id_keep_their_capture(spark, spelled):
     for q in ("normalised_boxes", "physical_regions"):
         got = sorted((r.ann_idx, r.frame_id) for r in QUERIES[q](spark, spelled).collect())
         assert got == [(1, FRAME), (2, FRAME), (3, FRAME), (4, FRAME), (5, FRAME.split("#")[0])]
+
+
+def test_repeats_count_once(spark, spelled, tmp_path):
+    assert sum(r.n for r in QUERIES["region_buckets"](spark, spelled).collect()) == 5
+    rows = [(1, 0, 5.0, "a"), (1, 0, 5.0, "b"), (2, 1, None, "c"), (2, 1, None, "d"), (3, 2, 7.0, "e")]
+    t = spark.createDataFrame(rows, "sample_id long, cell_index int, latency_ms double, logged_at string").selectExpr("*", "date'2025-01-01' as run_day")
+    t.write.parquet(f"{tmp_path}/latency_samples.parquet")
+    assert [(r.rx_packets, round(r.missed_ratio, 6)) for r in QUERIES["network_log"](spark, str(tmp_path)).collect()] == [(2, 0.333333)]

@@ -48,8 +48,8 @@ def heaviest_paths(spark, folder):
 @query("""WITH s AS (SELECT cell_index // 4 AS port, cell_index % 4 AS queue, count(*) FILTER (WHERE latency_ms >= 0 AND NOT isnan(latency_ms)) AS rx, count(*) FILTER (WHERE latency_ms IS NULL) AS missed, count(*) FILTER (WHERE latency_ms < 0) AS errors FROM latency_samples WHERE cell_index IS NOT NULL GROUP BY 1, 2),
 p AS (SELECT port, sum(rx) AS rx, sum(missed) AS missed, sum(errors) AS errors FROM s GROUP BY 1) SELECT port, rx::BIGINT AS rx_packets, round(missed / (rx + missed + errors), 9) AS missed_ratio, missed / (rx + missed + errors) <= 0.01 AND errors / (rx + missed + errors) <= 0.05 AS good FROM p""")
 def network_log(spark, folder):
-    """Counters written as log lines, read back as text, and judged per port."""
-    l = table(spark, folder, "latency_samples").where("cell_index is not null")  # noqa: E741
+    """Counters of timings, each counted once, written as log lines, read back as text, and judged per port."""
+    l = table(spark, folder, "latency_samples").where("cell_index is not null").dropDuplicates(["sample_id"])  # noqa: E741
     v = F.col("latency_ms")
     s = l.groupBy(F.expr("cell_index div 4").alias("port"), (F.col("cell_index") % 4).alias("queue"), "run_day").agg(F.count_if((v >= 0) & ~F.isnan(v)).alias("rx"), F.count_if(v.isNull()).alias("missed"), F.count_if(v < 0).alias("errors"))
     at = f"{scratch_dir(spark)}/log-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import scalar as S
 from wavemill.operators import metrics as M
+from wavemill.operators.names import regions_once
 from wavemill.plans.registry import Registry
 from wavemill.session import small_side
 from wavemill.sources.tables import table
@@ -115,7 +116,7 @@ _LEN = "CASE WHEN length_samples IS NULL THEN 'unknown' WHEN length_samples < 10
 
 @query(f"SELECT split, {_BW} AS bandwidth_bucket, {_LEN} AS length_bucket, count(*) AS n, sum((row1 - row0) * (col1 - col0))::BIGINT AS pixels FROM regions GROUP BY 1, 2, 3")
 def region_buckets(spark, folder):
-    r = table(spark, folder, "regions")
+    r = regions_once(table(spark, folder, "regions"), table(spark, folder, "captures"))
     return r.groupBy("split", S.bucket_label(F.col("bandwidth_hz"), *S.BANDWIDTH_EDGES).alias("bandwidth_bucket"), S.bucket_label(F.col("length_samples"), *S.LENGTH_EDGES).alias("length_bucket")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(((F.col("row1") - F.col("row0")) * (F.col("col1") - F.col("col0"))).cast("long")).alias("pixels")
     )
