@@ -76,7 +76,21 @@ def frequency_columns(spark, folder):
     return a.select("stem", "ann_idx", first.alias("col0"), F.least(F.greatest(F.ceil("b"), first + 1), F.lit(512)).alias("col1"), F.least(F.greatest(F.bround("a"), F.lit(0)), F.lit(511)).cast("long").alias("nearest_col"))
 
 
-_REG = """r AS (SELECT DISTINCT frame_id, ann_idx, kind, label, bandwidth_hz, length_samples, row0, row1, col0, col1 FROM regions WHERE frame_id IS NOT NULL AND row0 < row1 AND col0 < col1)"""
+
+def plain_sql(c: str) -> str:
+    """SQL of a capture's plain name: without folder, file ending, case and kind of separator."""
+    s = f"regexp_replace(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '^.*[/\\\\]', '')"
+    s = f"regexp_replace(lower({s}), '\\.sigmf([-_ ]?(meta|data))?$', '')"
+    return f"regexp_replace(regexp_replace({s}, '[\\s\\-_.]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+#: Regions by their key, capture and frame and ann_idx, however the names are spelled; what names no frame is told apart by its content.
+_ONCE = f"""stems AS (SELECT DISTINCT stem FROM captures WHERE stem IS NOT NULL), spelled AS (SELECT {plain_sql('stem')} AS p, min(stem) AS meant FROM stems GROUP BY 1),
+told AS (SELECT regions.* EXCLUDE (stem), coalesce(regexp_replace(frame_id, '#[^#]*$', ''), stem) AS told, CASE WHEN contains(frame_id, '#') THEN CAST(CAST(trim(split_part(frame_id, '#', -1)) AS BIGINT) AS VARCHAR) END AS frame FROM regions),
+named AS (SELECT told.* EXCLUDE (frame_id), coalesce(stems.stem, spelled.meant, {plain_sql('told')}) AS capture FROM told LEFT JOIN stems ON stems.stem = told LEFT JOIN spelled ON spelled.p = {plain_sql('told')}),
+once AS (SELECT DISTINCT ON (capture, frame, ann_idx, CASE WHEN frame IS NULL THEN (row0, row1, col0, col1, label, kind, attenuation_db, bandwidth_hz, length_samples, time_group) END) *, capture || coalesce('#' || frame, '') AS frame_id FROM named)"""
+_ALL = f"{_ONCE}, r AS (SELECT * FROM once WHERE row0 < row1 AND col0 < col1)"
+_REG = f"{_ONCE}, r AS (SELECT * FROM once WHERE frame IS NOT NULL AND row0 < row1 AND col0 < col1)"
 
 
 def regions(spark: SparkSession, folder: str, framed: bool = True) -> DataFrame:
@@ -86,7 +100,7 @@ def regions(spark: SparkSession, folder: str, framed: bool = True) -> DataFrame:
     return r.select("frame_id", "capture", "ann_idx", "kind", "label", "bandwidth_hz", "length_samples", *B.SIDES)
 
 
-@query(f"""WITH {_REG} SELECT frame_id, ann_idx, round(least(greatest((col0 + col1) / 2 / 4096, 0), 1), 9) AS cx, round(least(greatest((row0 + row1) / 2 / 1024, 0), 1), 9) AS cy, round(least((col1 - col0) / 4096, 1), 9) AS w, round(least((row1 - row0) / 1024, 1), 9) AS h FROM r""")
+@query(f"""WITH {_ALL} SELECT frame_id, ann_idx, round(least(greatest((col0 + col1) / 2 / 4096, 0), 1), 9) AS cx, round(least(greatest((row0 + row1) / 2 / 1024, 0), 1), 9) AS cy, round(least((col1 - col0) / 4096, 1), 9) AS w, round(least((row1 - row0) / 1024, 1), 9) AS h FROM r""")
 def normalised_boxes(spark, folder):
     n = B.normalised(regions(spark, folder, framed=False), 1024, 4096)
     return n.select("frame_id", "ann_idx", *[F.round(c, 9).alias(c) for c in ("cx", "cy", "w", "h")])
@@ -124,7 +138,7 @@ def top_regions(spark, folder):
     return r.select("frame_id", "ann_idx", F.round(1 / (1 + F.exp(-(F.col("bandwidth_hz") / 1e6 - 2))), 9).alias("score"), "rank").where("score >= 0.3")
 
 
-@query(f"""WITH {_REG}, {_CAP}, j AS (SELECT r.*, c.* FROM r JOIN c ON c.stem = regexp_replace(r.frame_id, '#[^#]*$', '') WHERE fc IS NOT NULL)
+@query(f"""WITH {_ALL}, {_CAP}, j AS (SELECT r.*, c.* FROM r JOIN c ON c.stem = r.capture WHERE fc IS NOT NULL)
 SELECT frame_id, ann_idx, row0, col0, label, kind, CAST(floor(row0 / 1024 * n) AS BIGINT) AS start_sample, CAST(least(ceil(row1 / 1024 * n), n) AS BIGINT) AS stop_sample, round(fc + (col0 / 4096 - 0.5) * fs, 3) AS low_hz, round(fc + (col1 / 4096 - 0.5) * fs, 3) AS high_hz FROM j""")
 def physical_regions(spark, folder):
     """Boxes in samples and Hz of the capture their frame, or else their stem, names."""

@@ -45,7 +45,7 @@ def heaviest_paths(spark, folder):
     return longest_paths(every.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")), "src", "dst", "w")
 
 
-@query("""WITH s AS (SELECT cell_index // 4 AS port, cell_index % 4 AS queue, count(*) FILTER (WHERE latency_ms >= 0 AND NOT isnan(latency_ms)) AS rx, count(*) FILTER (WHERE latency_ms IS NULL) AS missed, count(*) FILTER (WHERE latency_ms < 0) AS errors FROM latency_samples WHERE cell_index IS NOT NULL GROUP BY 1, 2),
+@query("""WITH s AS (SELECT cell_index // 4 AS port, cell_index % 4 AS queue, count(*) FILTER (WHERE latency_ms >= 0 AND NOT isnan(latency_ms)) AS rx, count(*) FILTER (WHERE latency_ms IS NULL) AS missed, count(*) FILTER (WHERE latency_ms < 0) AS errors FROM (SELECT DISTINCT ON (sample_id) * FROM latency_samples WHERE cell_index IS NOT NULL) GROUP BY 1, 2),
 p AS (SELECT port, sum(rx) AS rx, sum(missed) AS missed, sum(errors) AS errors FROM s GROUP BY 1) SELECT port, rx::BIGINT AS rx_packets, round(missed / (rx + missed + errors), 9) AS missed_ratio, missed / (rx + missed + errors) <= 0.01 AND errors / (rx + missed + errors) <= 0.05 AS good FROM p""")
 def network_log(spark, folder):
     """Counters of timings, each counted once, written as log lines, read back as text, and judged per port."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wavemill.functions import scalar as S
 from wavemill.operators import metrics as M
 from wavemill.operators.names import regions_once
+from wavemill.plans.detections import _ONCE
 from wavemill.plans.registry import Registry
 from wavemill.session import small_side
 from wavemill.sources.tables import table
@@ -114,7 +115,7 @@ _BW = "CASE WHEN bandwidth_hz IS NULL OR isnan(bandwidth_hz) THEN 'unknown' WHEN
 _LEN = "CASE WHEN length_samples IS NULL THEN 'unknown' WHEN length_samples < 10000 THEN '<10k' WHEN length_samples < 100000 THEN '10k-100k' WHEN length_samples < 1000000 THEN '100k-1M' WHEN length_samples < 5000000 THEN '1M-5M' ELSE '>=5M' END"
 
 
-@query(f"SELECT split, {_BW} AS bandwidth_bucket, {_LEN} AS length_bucket, count(*) AS n, sum((row1 - row0) * (col1 - col0))::BIGINT AS pixels FROM regions GROUP BY 1, 2, 3")
+@query(f"WITH {_ONCE} SELECT split, {_BW} AS bandwidth_bucket, {_LEN} AS length_bucket, count(*) AS n, sum((row1 - row0) * (col1 - col0))::BIGINT AS pixels FROM once GROUP BY 1, 2, 3")
 def region_buckets(spark, folder):
     r = regions_once(table(spark, folder, "regions"), table(spark, folder, "captures"))
     return r.groupBy("split", S.bucket_label(F.col("bandwidth_hz"), *S.BANDWIDTH_EDGES).alias("bandwidth_bucket"), S.bucket_label(F.col("length_samples"), *S.LENGTH_EDGES).alias("length_bucket")).agg(
