@@ -8,12 +8,13 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from wavemill.session import local_session
+    from wavemill.session import clear_scratch, local_session
 
     s = local_session(4, "4g", "tests")
     s.conf.set("spark.sql.shuffle.partitions", "4")
     s.sparkContext.setLogLevel("ERROR")
-    return s
+    yield s
+    clear_scratch(s)
 
 
 DATA = os.environ.get("WAVEMILL_TESTDATA", "/root/testdata/sf0.001")

@@ -76,15 +76,44 @@ def test_band_occupancy_rules(spark):
     assert band_occupancy(empty, cap, bands).count() == 0
 
 
-def test_many_bands_give_the_same(spark, monkeypatch):
-    from wavemill.operators import occupancy
-
+def test_many_bands_and_odd_ones(spark):
+    """Over a thousand bands, among them one without width and one with its edges turned, against the rule itself."""
     rng = np.random.default_rng(1)
-    ann = [(f"s{i % 3}", i, int(a), int(c), float(f), float(f + w), 0, "x") for i, (a, c, f, w) in enumerate(zip(rng.integers(0, 900, 80), rng.integers(0, 90, 80), rng.integers(-60, 60, 80), rng.integers(1, 30, 80), strict=True))]
+    ann = [(f"s{i % 3}", i, int(a), int(c), float(f), float(f + w), 0, "x") for i, (a, c, f, w) in enumerate(zip(rng.integers(0, 900, 30), rng.integers(1, 90, 30), rng.integers(-600, 600, 30), rng.integers(0, 300, 30), strict=True))]
     ann.append(("s0", 99, 5, 5, float("-inf"), float("inf"), 0, "x"))
-    df = spark.createDataFrame(ann, ANN)
     cap = spark.createDataFrame([(f"s{i}", 1000) for i in range(3)], "stem string, n_samples long")
-    bands = spark.createDataFrame([(i, float(10 * i - 50), float(10 * i - 42)) for i in range(10)], "band_id int, band_lower_hz double, band_upper_hz double")
-    few = sorted(tuple(r) for r in band_occupancy(df, cap, bands).collect())
-    monkeypatch.setattr(occupancy, "BAND_ROWS", 1)
-    assert sorted(tuple(r) for r in band_occupancy(df, cap, bands).collect()) == few
+    every = [(i, float(i - 500), float(i - 499.5)) for i in range(999)] + [(999, 7.0, 7.0), (1000, 9.0, 8.0), (1001, -2000.0, 2000.0)]
+    for bands in (every, every[-4:], every[-3:-2]):
+        got = band_occupancy(spark.createDataFrame(ann, ANN), cap, spark.createDataFrame(bands, "band_id int, band_lower_hz double, band_upper_hz double")).where("seg_kind = 'busy'").collect()
+        want = {}
+        for stem, _, start, count, low, high, _, _ in ann:
+            for band, b_low, b_high in bands:
+                if low < b_high and high > b_low:
+                    want.setdefault((stem, band), set()).update(range(start, min(start + count, 1000)))
+        have = {}
+        for r in got:
+            have.setdefault((r.stem, r.band_id), set()).update(range(r.seg_start, r.seg_stop))
+        assert have == want
+    assert band_occupancy(spark.createDataFrame(ann, ANN), cap, spark.createDataFrame([], "band_id int, band_lower_hz double, band_upper_hz double")).count() == 0
+
+
+def test_very_long_intervals_are_a_few_pieces(spark):
+    from wavemill.operators.dyadic import _tiers
+
+    n = 10**12
+    low, high = np.array([5, 0, 1 << 20, 7]), np.array([n, n, 3 << 20, 8])
+    pieces = _tiers(low, high, 20)
+    assert sum(len(p[0]) for p in pieces) <= 4 * 2 * 4
+    covered = np.zeros(4, np.int64)
+    for row, tier, a, b in pieces:
+        np.add.at(covered, row, (b - a) << (0 if tier == 0 else 20 + 10 * (tier - 1)))
+    assert covered.tolist() == (high - low).tolist()
+    rows = [("a", 3, n, n), ("a", 10, 20, n), ("a", 1 << 33, (1 << 33) + 5, n), ("b", 5 << 20, 900 << 20, n), ("b", (4 << 20) + 9, (5 << 20) - 1, n), ("b", (899 << 20) + 3, (1 << 35) + 7, n), ("b", (1 << 36) + 3, (1 << 36) + 9, n), ("c", 1, 2, n), ("c", n - 1, n, n), ("c", 0, 1 << 62, n)]
+    df = spark.createDataFrame(rows * 50, "k string, s long, t long, n long")
+    got = sorted(tuple(r) for r in busy_and_gaps(df, ["k"], "s", "t", "n").collect())
+    assert got == [
+        ("a", "busy", 3, n), ("a", "gap", 0, 3),
+        ("b", "busy", (4 << 20) + 9, (5 << 20) - 1), ("b", "busy", 5 << 20, (1 << 35) + 7), ("b", "busy", (1 << 36) + 3, (1 << 36) + 9),
+        ("b", "gap", 0, (4 << 20) + 9), ("b", "gap", (5 << 20) - 1, 5 << 20), ("b", "gap", (1 << 35) + 7, (1 << 36) + 3), ("b", "gap", (1 << 36) + 9, n),
+        ("c", "busy", 0, n),
+    ]

@@ -174,6 +174,29 @@ def test_nearest_vectors_against_numpy(spark):
         assert [r.neighbour for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == list(np.argsort(-s)[:3])
 
 
+def test_queries_of_several_lengths(spark):
+    rows = [(0, [1.0]), (1, [2.0]), (2, [-1.0]), (3, [1.0, 0.0]), (4, [1.0, 1.0]), (5, [0.0, 1.0]), (6, [2.0, 0.0]), (7, [1.0, None])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {(r["query"], r["rank"]): r.neighbour for r in nearest(df, df.where("id in (0, 3, 7)"), "id", "v", 2).collect()}
+    assert got == {(0, 1): 1, (0, 2): 2, (3, 1): 6, (3, 2): 4}
+
+
+def test_components_of_wide_grids_keep_apart(spark):
+    cells = [(0, 0, 1_000_000), (0, 1, 0), (0, 1, 2_000_000)]
+    got = sorted((r.row0, r.col0, r.pixel_count) for r in G.label_components(spark.createDataFrame(cells, "frame long, row int, col int")).collect())
+    assert got == [(0, 1_000_000, 1), (1, 0, 1), (1, 2_000_000, 1)]
+
+
+def test_scratch_is_named_and_cleared(spark):
+    import os
+
+    from wavemill.session import clear_scratch, scratch_dir, written
+
+    written(spark.range(3)).count()
+    at = scratch_dir(spark)
+    assert os.listdir(at) and clear_scratch(spark) > 0 and not [x for x in os.listdir(at) if x.startswith("stage-")]
+
+
 def test_packets_round_trip(spark):
     df = spark.createDataFrame([(1, 7, [1, -2, 300, -32768]), (2, 65535, [5, 6, 7])], "id int, p long, v array<long>").select("id", packets.encode(F.col("p"), F.col("v")).alias("payload"))
     got = {r.id: (r.packet_id, [(round(s.i * 32767), round(s.q * 32767)) for s in r.samples]) for r in packets.decode(df, "payload").collect()}

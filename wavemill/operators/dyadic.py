@@ -1,11 +1,13 @@
 """Union and complement of integer intervals by canonical dyadic blocks.
 
-A half-open interval is cut at the borders of cells of ``2**cell_bits``
-positions; inside a cell it becomes at most ``2 * cell_bits`` canonical blocks
-``[i * 2**k, (i + 1) * 2**k)``. Blocks under an ancestor go, pairs of siblings
-become their parent, level by level, and adjacent blocks are put together. The
-union is associative, so the same step runs before the shuffle, which leaves of
-a crowded cell at most what can lie in it, and after it.
+A half-open interval is cut into canonical blocks ``[i * 2**k, (i + 1) * 2**k)``,
+kept by tier: those below ``2**cell_bits`` belong to the cell of that many
+positions they lie in, larger ones to a wide cell of ``WIDE_BITS`` bits more,
+and so on, so that an interval becomes a few pieces however long it is. Inside a
+cell blocks under an ancestor go, pairs of siblings become their parent, level
+by level, and adjacent blocks are put together. The union is associative, so the
+same step runs before the shuffle, which leaves of a crowded cell at most what
+can lie in it, and after it. Then the cells that a wider block covers go.
 
 No task gets more than one cell of an entity at once, and the windows that join
 runs across cells see at most a few rows per cell, however many intervals an
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from wavemill.session import written
 
-CELL_BITS = 20
+CELL_BITS, WIDE_BITS = 20, 10
 
 
 def dyadic_union(group: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,31 +109,53 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
         yield pa.Table.from_batches(held)
 
 
+def _tiers(low: np.ndarray, high: np.ndarray, bits: int) -> list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """Intervals as pieces that lie in one cell each: (row, tier, first and last+1 unit). A tier's units are the cells of the one below it."""
+    row, tier, width, out = np.arange(len(low)), 0, bits, []
+    while len(row):
+        a, b = low >> width, (high - 1) >> width  # the cells of the first and the last unit
+        one = a == b
+        out.append((row[one], tier, low[one], high[one]))
+        row, low, high, a, b = (x[~one] for x in (row, low, high, a, b))
+        head, tail = (a + 1) << width, b << width
+        out += [(row[low < head], tier, low[low < head], head[low < head]), (row[tail < high], tier, tail[tail < high], high[tail < high])]
+        low, high = a + 1, b  # whole cells between them
+        row, low, high = (x[a + 1 < b] for x in (row, low, high))
+        tier, width = tier + 1, WIDE_BITS
+    return out
+
+
 def _cover(keys: list[str], bits: int, schema: pa.Schema, grouped: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        low, high = (t[c].to_numpy() for c in ("_low", "_high"))
-        row = np.arange(t.num_rows)
-        cells = low >> bits
-        count = ((high - 1) >> bits) - cells + 1
-        row, cell = np.repeat(row, count), np.repeat(cells, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        entity, _ = group_ids([t[k] for k in keys])
+    def union(t: pa.Table, row: np.ndarray, tier: int, low: np.ndarray, high: np.ndarray, entity: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(row):
             return
+        width = WIDE_BITS if tier else bits
+        cell = low >> width
         _, first, ids = np.unique(entity[row] * (int(cell.max()) + 1) + cell, return_index=True, return_inverse=True)
-        at = cell << bits
-        g, lo, hi = dyadic_union(ids.astype(np.int64), np.maximum(low[row] - at, 0), np.minimum(high[row] - at, 1 << bits), bits)
+        at = cell << width
+        g, lo, hi = dyadic_union(ids.astype(np.int64), low - at, high - at, width)
         rows, base = row[first][g], cell[first][g]
         out = [t[k].combine_chunks().take(pa.array(rows)) for k in keys]
-        yield pa.RecordBatch.from_arrays([*out, pa.array(base), pa.array((base << bits) + lo), pa.array((base << bits) + hi)], schema=schema)
+        yield pa.RecordBatch.from_arrays([*out, pa.array(np.full(len(rows), tier, np.int32)), pa.array(base), pa.array((base << width) + lo), pa.array((base << width) + hi)], schema=schema)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if grouped:
-            for t in whole_groups(source, [*keys, "_cell"]):
-                yield from run(t)
-        else:
-            for b in source:
-                if b.num_rows:
-                    yield from run(pa.Table.from_batches([b]))
+            for t in whole_groups(source, [*keys, "_tier", "_cell"]):
+                entity, _ = group_ids([t[k] for k in keys])
+                tiers, low, high = (t[c].to_numpy() for c in ("_tier", "_low", "_high"))
+                for tier in np.unique(tiers):
+                    row = np.flatnonzero(tiers == tier)
+                    yield from union(t, row, int(tier), low[row], high[row], entity)
+            return
+        for b in source:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            entity, _ = group_ids([t[k] for k in keys])
+            pieces = _tiers(*(t[c].to_numpy() for c in ("_low", "_high")), bits)
+            for tier in sorted({p[1] for p in pieces}):
+                own = [p for p in pieces if p[1] == tier]
+                yield from union(t, *(np.concatenate([p[0] for p in own]), tier, np.concatenate([p[2] for p in own]), np.concatenate([p[3] for p in own]), entity))
 
     return batches
 
@@ -161,21 +185,32 @@ def busy_and_gaps(
     ).where(F.col("_low") < F.col("_high"))
     rows = rows.dropna(subset=[*names, "_extent"])
     carried = [*names, "_extent"]
-    schema = T.StructType([*(rows.schema[c] for c in carried), *(T.StructField(c, T.LongType()) for c in ("_cell", "_low", "_high"))])
+    longs = [T.StructField(c, T.LongType()) for c in ("_cell", "_low", "_high")]
+    schema = T.StructType([*(rows.schema[c] for c in carried), T.StructField("_tier", T.IntegerType()), *longs])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
     cut = rows.mapInArrow(_cover(carried, cell_bits, arrow, False), schema)
-    cut = cut.repartition(*names, "_cell").sortWithinPartitions(*carried, "_cell")
+    cut = cut.repartition(*names, "_tier", "_cell").sortWithinPartitions(*carried, "_tier", "_cell")
     runs = cut.mapInArrow(_cover(carried, cell_bits, arrow, True), schema)
 
-    # Across cells: only runs that touch a border of their cell can go on in the next one.
-    edge = (F.col("_low") == F.shiftleft("_cell", cell_bits)) | (F.col("_high") == F.shiftleft(F.col("_cell") + 1, cell_bits))
-    runs = runs.withColumn("_part", F.when(edge, F.lit(-1).cast("long")).otherwise(F.col("_cell")))
-    w = Window.partitionBy(*carried, "_part").orderBy("_low")
-    runs = runs.withColumn("_new", F.when(F.col("_low") > F.lag("_high", 1, -1).over(w), 1).otherwise(0))
-    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    busy = written(runs.groupBy(*carried, "_part", "_run").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")).drop("_part", "_run"), "busy")
+    # In positions again. Runs inside a cell stay by themselves; those that touch a border of their cell, and wide ones, can go on.
+    scale = F.when(F.col("_tier") == 0, 0).otherwise(cell_bits + (F.col("_tier") - 1) * WIDE_BITS)
+    edge = (F.col("_tier") > 0) | (F.col("_low") == F.shiftleft("_cell", cell_bits)) | (F.col("_high") == F.shiftleft(F.col("_cell") + 1, cell_bits))
+    runs = runs.withColumns({"_edge": edge, "_low": F.call_function("shiftleft", "_low", scale), "_high": F.call_function("shiftleft", "_high", scale)})
+    runs = written(runs.select(*carried, "_edge", F.when(~edge, F.col("_cell")).alias("_cell"), "_low", "_high"), "runs")
+    # Joined in order of their start, with one row for each cell that has runs inside it, which tells if a wider block covers it.
+    inner = runs.where("not _edge")
+    cells = inner.groupBy(*carried, "_cell").agg(F.min("_low").alias("_low"), F.min("_low").alias("_high"))
+    w = Window.partitionBy(*carried).orderBy("_low", F.col("_cell").asc_nulls_first())
+    lined = runs.where("_edge").select(*carried, F.lit(None).cast("long").alias("_cell"), "_low", "_high").unionByName(cells.select(*carried, "_cell", "_low", "_high"))
+    lined = lined.withColumn("_reach", F.max(F.when(F.col("_cell").isNull(), F.col("_high"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    lined = lined.withColumn("_new", F.when(F.col("_cell").isNull() & (F.col("_low") > F.coalesce("_reach", F.lit(-1))), 1).otherwise(0))
+    lined = written(lined.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))), "lined")
+    joined = lined.where("_cell is null").groupBy(*carried, "_run").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")).drop("_run")
+    covered = lined.where("_cell is not null and _reach > _low").select(*carried, "_cell")
+    alone = inner.join(covered, [*carried, "_cell"], "left_anti").select(*carried, "_low", "_high")
+    busy = written(joined.unionByName(alone), "busy")
 
     cell = F.shiftright("_low", cell_bits).alias("_cell")
     inner = Window.partitionBy(*carried, "_cell").orderBy("_low")

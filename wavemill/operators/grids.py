@@ -175,7 +175,7 @@ def label_components(mask: DataFrame) -> DataFrame:
     """
     from wavemill.session import written
 
-    r = written(runs(mask).withColumn("id", F.col("line") * 1_000_000 + F.col("start")), "runs")
+    r = written(runs(mask).withColumn("id", F.shiftleft(F.col("line").cast("long"), 32) + F.col("start")), "runs")
     a, b = r.alias("a"), r.alias("b")
     touch = (F.col("a.frame") == F.col("b.frame")) & (F.col("a.line") + 1 == F.col("b.line")) & (F.col("a.start") <= F.col("b.stop")) & (F.col("b.start") <= F.col("a.stop"))
     down = a.join(b, touch).select(F.col("a.frame").alias("frame"), F.col("a.id").alias("x"), F.col("b.id").alias("y"))

@@ -6,10 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.operators.dyadic import CELL_BITS, busy_and_gaps
-from wavemill.operators.intervals import overlap_join
-from wavemill.session import within
+from wavemill.session import small_side
 
-BAND_ROWS, BUCKETS = 1_000, 4_096
+#: Most buckets of frequency; with fewer bands there are as many as bands.
+BUCKETS = 4_096
+
+
+def _in_bands(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Annotations with each band that ``low < b_high`` and ``high > b_low`` hold for: an equi-join on the buckets both touch, each pair in its first common one.
+
+    A band without width, or with its edges turned, is in an annotation that goes beyond both its edges.
+    """
+    span = b.agg(F.min(F.least("b_low", "b_high")).alias("low"), F.max(F.greatest("b_low", "b_high")).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    if not span["n"]:
+        return a.join(b, F.lit(False))
+    width = max((span["high"] - span["low"]) / min(span["n"], BUCKETS), 1e-9)
+    last = int((span["high"] - span["low"]) / width)
+    bucket = lambda x: F.least(F.greatest(F.floor((x - span["low"]) / width), F.lit(0)), F.lit(last)).cast("int")
+    near = a.where((F.col("low") < span["high"]) & (F.col("high") > span["low"])).withColumn("_a0", bucket(F.greatest("low", F.lit(span["low"]))))
+    near = near.withColumn("_bucket", F.explode(F.sequence("_a0", bucket(F.least("high", F.lit(span["high"]))))))
+    bands = b.withColumn("_b0", bucket(F.least("b_low", "b_high"))).withColumn("_bucket", F.explode(F.sequence("_b0", bucket(F.greatest("b_low", "b_high")))))
+    pairs = near.join(small_side(bands), "_bucket")
+    return pairs.where((F.col("low") < F.col("b_high")) & (F.col("high") > F.col("b_low")) & (F.col("_bucket") == F.greatest("_a0", "_b0")))
 
 
 def band_occupancy(annotations: DataFrame, captures: DataFrame, bands: DataFrame, cell_bits: int = CELL_BITS) -> DataFrame:
@@ -21,7 +39,8 @@ def band_occupancy(annotations: DataFrame, captures: DataFrame, bands: DataFrame
     its count is negative, or nothing remains after cutting to
     ``[0, n_samples)``. Repeated annotations and captures change nothing; a
     capture told twice with different lengths has the larger. Extra columns are
-    ignored; empty tables give an empty result.
+    ignored; empty tables give an empty result. Bands with a null or NaN edge
+    are left out.
     """
     real = lambda c: F.when(~F.isnan(c), F.col(c))
     a = annotations.select(
@@ -33,16 +52,8 @@ def band_occupancy(annotations: DataFrame, captures: DataFrame, bands: DataFrame
         (real("freq_lower_hz").isNotNull() & real("freq_upper_hz").isNotNull()).alias("edges"),
     ).where("stem is not null and start is not null and count >= 0 and edges")
     c = captures.groupBy("stem").agg(F.max("n_samples").cast("long").alias("extent"))
-    b = bands.select("band_id", F.col("band_lower_hz").alias("b_low"), F.col("band_upper_hz").alias("b_high")).dropna().distinct()
-    if within(b, BAND_ROWS):  # few bands: each annotation is held against all of them where it lies
-        found = a.join(F.broadcast(b), (a["low"] < b["b_high"]) & (a["high"] > b["b_low"]))
-    else:  # by buckets of frequency, within what the bands span
-        span = b.agg(F.min("b_low").alias("low"), F.max("b_high").alias("high")).first()
-        near = a.where((F.col("low") < span["high"]) & (F.col("high") > span["low"]))
-        near = near.withColumn("from", F.greatest("low", F.lit(span["low"] - 1.0)))
-        near = near.withColumn("to", F.least(F.greatest("high", F.col("from") + 1e-3), F.lit(span["high"] + 1.0)))
-        found = overlap_join(near, b, ("from", "to"), ("b_low", "b_high"), width=max(1.0, (span["high"] - span["low"]) / BUCKETS))
-        found = found.where((F.col("low") < F.col("b_high")) & (F.col("high") > F.col("b_low")))
+    b = bands.select("band_id", F.col("band_lower_hz").alias("b_low"), F.col("band_upper_hz").alias("b_high")).dropna().where("not isnan(b_low) and not isnan(b_high)").distinct()
+    found = _in_bands(a, b)
     stop: Column = F.when(F.col("count") == 0, F.col("extent")).otherwise(F.coalesce(F.try_add("start", "count"), "extent"))
     found = found.select("stem", "band_id", "start", "count").join(c, "stem")
     return busy_and_gaps(found, ["stem", "band_id"], "start", stop, "extent", cell_bits)

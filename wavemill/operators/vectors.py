@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavemill.session import written
+
 QUERY_BLOCK = 2_000
 
 
@@ -18,8 +20,8 @@ def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int
     Queries go out in blocks of ``QUERY_BLOCK``, each held against every row in
     one pass; a partition passes on at most k rows per query, so the last step
     sees few. Similarities are rounded to 9 digits, ties go to the smaller key.
-    Null vectors, those with null parts or without length, and those of another
-    length than most (of the first query) have no neighbours.
+    Vectors are compared with those of their own length. Null vectors, and those
+    with null parts or without length, have no neighbours.
     """
     spark = corpus.sparkSession
     arrow = pa.schema([("query", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])
@@ -37,30 +39,48 @@ def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int
             yield block
 
     for block in blocks():
-        dims = len(block[0][1])
-        block = [b for b in block if len(b[1]) == dims and None not in b[1]]
-        ids, q = np.array([b[0] for b in block]), np.array([b[1] for b in block], float).reshape(-1, dims)
-        shared = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+        by_size: dict[int, list[tuple[int, list[float]]]] = {}
+        for i, v in block:
+            if v and None not in v:
+                by_size.setdefault(len(v), []).append((i, v))
+        sides = {}
+        for dims, own in by_size.items():
+            q = np.array([v for _, v in own], float)
+            sides[dims] = (np.array([i for i, _ in own], np.int64), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300))
+        shared = spark.sparkContext.broadcast(sides)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, dims=dims) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(v) == dims and None not in v]
-                if not rows:
-                    continue
-                keys, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-                norm = np.linalg.norm(x, axis=1)
-                keys, x = keys[norm > 0], x[norm > 0] / norm[norm > 0, None]
-                if not len(keys):
-                    continue
-                s = np.round(q @ x.T, 9)
-                s[ids[:, None] == keys[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
-                at = np.repeat(np.arange(len(ids)), order.shape[1])
-                sim = s[at, order.ravel()]
-                good = np.isfinite(sim) & (sim >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at][good]), pa.array(keys[order.ravel()][good]), pa.array(sim[good])], schema=arrow)
+                every, lists = b.column(0).to_numpy(), b.column(1)
+                offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+                sizes = np.diff(offsets)
+                for dims, (ids, q) in shared.value.items():
+                    at = np.flatnonzero(sizes == dims)
+                    x = flat[offsets[at][:, None] + np.arange(dims)]
+                    norm = np.linalg.norm(x, axis=1)  # NaN where a part is null or NaN
+                    good = norm > 0
+                    keys, x = every[at[good]], x[good] / norm[good, None]
+                    if not len(keys):
+                        continue
+                    order = np.argsort(keys, kind="stable")  # so that the first of equal similarities has the smaller key
+                    keys, x = keys[order], x[order]
+                    s = np.round(q @ x.T, 9)
+                    s[ids[:, None] == keys[None, :]] = -np.inf
+                    if s.shape[1] > k:
+                        floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                        query, place = np.nonzero(s >= floor[:, None])
+                    else:
+                        query, place = np.nonzero(s > -np.inf)
+                    sim = s[query, place]
+                    good = np.isfinite(sim) & (sim >= least)
+                    query, place, sim = query[good], place[good], sim[good]
+                    # Of each query's candidates, ties at the limit among them, the first k.
+                    rank = np.lexsort((place, -sim, query))
+                    query, place, sim = query[rank], place[rank], sim[rank]
+                    nth = np.arange(len(query)) - np.searchsorted(query, query)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[query[nth < k]]), pa.array(keys[place[nth < k]]), pa.array(sim[nth < k])], schema=arrow)
 
-        out = out.unionByName(source.mapInArrow(run, "query long, neighbour long, similarity double"))
+        out = out.unionByName(written(source.mapInArrow(run, "query long, neighbour long, similarity double"), "nearest"))
+        shared.destroy()
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return out.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -115,14 +115,21 @@ def best_iou_per_region(spark, folder):
     return b.select("frame_id", "ann_idx", F.round("best", 9).alias("best"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_REG}, b AS (SELECT frame_id, ann_idx, row0, row1, col0, col1, row_number() OVER (PARTITION BY frame_id ORDER BY length_samples DESC, ann_idx) AS k FROM r WHERE length_samples IS NOT NULL),
+s AS (SELECT DISTINCT frame_id, 0::BIGINT AS k, []::STRUCT(a INT, r0 BIGINT, r1 BIGINT, c0 BIGINT, c1 BIGINT)[] AS kept FROM b UNION ALL
+SELECT b.frame_id, b.k, CASE WHEN len(list_filter(kept, lambda x: greatest(least(x.r1, row1) - greatest(x.r0, row0) + 1, 0) * greatest(least(x.c1, col1) - greatest(x.c0, col0) + 1, 0) * 11
+  >= (x.r1 - x.r0 + 1) * (x.c1 - x.c0 + 1) + (row1 - row0 + 1)::BIGINT * (col1 - col0 + 1))) = 0 THEN list_append(kept, {{'a': ann_idx, 'r0': row0::BIGINT, 'r1': row1::BIGINT, 'c0': col0::BIGINT, 'c1': col1::BIGINT}}) ELSE kept END FROM s JOIN b ON b.frame_id = s.frame_id AND b.k = s.k + 1),
+e AS (SELECT frame_id, unnest(arg_max(kept, k)) AS x FROM s GROUP BY 1) SELECT frame_id, x.a AS ann_idx FROM e""")
 def suppressed_regions(spark, folder):
     """Non-maximum suppression per frame, the longest regions first."""
     r = regions(spark, folder).groupBy("frame_id", "ann_idx").agg(F.max(F.struct("length_samples", *B.SIDES)).alias("r")).select("frame_id", "ann_idx", "r.*").where("length_samples is not null")
     return B.suppress(r, ["frame_id"], "ann_idx", "length_samples", 0.1).select("frame_id", "ann_idx")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_REG}, s AS (SELECT 0 AS turn, frame_id, row_number() OVER (ORDER BY frame_id, ann_idx) AS id, row0, row1 - 1 AS row1, col0, col1 - 1 AS col1, 1::BIGINT AS n, TRUE AS moved FROM r UNION ALL
+SELECT turn + 1, frame_id, target, min(row0), max(row1), min(col0), max(col1), sum(n)::BIGINT, bool_or(target <> id) FROM (SELECT a.turn, a.frame_id, a.id, a.row0, a.row1, a.col0, a.col1, a.n, min(b.id) AS target
+  FROM (SELECT *, bool_or(moved) OVER (PARTITION BY frame_id) AS again FROM s) a JOIN s b ON a.again AND a.frame_id = b.frame_id AND a.row0 <= b.row1 + 4 AND b.row0 <= a.row1 + 4 AND a.col0 <= b.col1 + 16 AND b.col0 <= a.col1 + 16 GROUP BY ALL) GROUP BY turn, frame_id, target)
+SELECT frame_id, row0, row1, col0, col1, n FROM s QUALIFY turn = max(turn) OVER (PARTITION BY frame_id)""")
 def merged_regions(spark, folder):
     """Boxes of a frame that are within 4 rows and 16 columns of each other, merged until none are."""
     r = regions(spark, folder).select("frame_id", "ann_idx", "row0", (F.col("row1") - 1).alias("row1"), "col0", (F.col("col1") - 1).alias("col1")).withColumn("n", F.lit(1))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from wavemill.operators import grids as G
@@ -12,7 +10,7 @@ from wavemill.operators.graphs import longest_paths
 from wavemill.plans.detections import _REG, regions
 from wavemill.plans.grids import _GRID, N, grid
 from wavemill.plans.registry import Registry
-from wavemill.session import scratch_dir
+from wavemill.session import scratch_path
 from wavemill.sources import netlog
 from wavemill.sources.tables import table
 from wavemill.streaming.runner import file_stream, run_available
@@ -52,7 +50,7 @@ def network_log(spark, folder):
     l = table(spark, folder, "latency_samples").where("cell_index is not null").dropDuplicates(["sample_id"])  # noqa: E741
     v = F.col("latency_ms")
     s = l.groupBy(F.expr("cell_index div 4").alias("port"), (F.col("cell_index") % 4).alias("queue"), "run_day").agg(F.count_if((v >= 0) & ~F.isnan(v)).alias("rx"), F.count_if(v.isNull()).alias("missed"), F.count_if(v < 0).alias("errors"))
-    at = f"{scratch_dir(spark)}/log-{uuid.uuid4().hex}"
+    at = scratch_path(spark, "log")
     s.select(F.format_string("[port %d][queue %d] rx_packets: %d, missed: %d, errors: %d", "port", "queue", "rx", "missed", "errors").alias("value")).write.text(at)
     return netlog.validate(netlog.parse_counters(spark.read.text(at)), 0.01, 0.05).select("port", "rx_packets", F.round("missed_ratio", 9).alias("missed_ratio"), "good")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions import scalar as S
@@ -10,7 +10,7 @@ from wavemill.operators import metrics as M
 from wavemill.operators.names import regions_once
 from wavemill.plans.detections import _ONCE
 from wavemill.plans.registry import Registry
-from wavemill.session import small_side
+from wavemill.session import scratch_path, small_side
 from wavemill.sources.tables import table
 
 query = Registry()
@@ -41,22 +41,41 @@ def coverage_by_bucket(spark, folder):
     )
 
 
-@query(f"""WITH {_METRICS} SELECT signal_class, attenuation_db, max(r) FILTER (WHERE detector = 'coherent_sum') AS coherent_sum, max(r) FILTER (WHERE detector = 'energy_gate') AS energy_gate, max(r) FILTER (WHERE detector = 'segmenter_large') AS segmenter_large, max(r) FILTER (WHERE detector = 'segmenter_small') AS segmenter_small
-FROM (SELECT signal_class, attenuation_db, detector, round(avg(CASE WHEN coverage >= 0.3 THEN 1.0 ELSE 0.0 END), 9) AS r FROM m GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+#: The SQL names the detectors of the tables given; the query finds them.
+_RATES = ", ".join(f"max(r) FILTER (WHERE detector = '{d}') AS {d}" for d in ("coherent_sum", "energy_gate", "segmenter_large", "segmenter_small"))
+
+
+@query(f"""WITH {_METRICS} SELECT signal_class, attenuation_db, {_RATES} FROM (SELECT signal_class, attenuation_db, detector, round(avg(CASE WHEN coverage >= 0.3 THEN 1.0 ELSE 0.0 END), 9) AS r FROM m WHERE detector IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def rate_pivot(spark, folder):
-    r = M.detection_rate(_metrics(spark, folder), ["signal_class", "attenuation_db", "detector"], "coverage", 0.30)
-    return r.groupBy("signal_class", "attenuation_db").pivot("detector", ["coherent_sum", "energy_gate", "segmenter_large", "segmenter_small"]).agg(F.max("rate"))
+    """Detection rates with a column for every detector there is."""
+    r = M.detection_rate(_metrics(spark, folder).where("detector is not null"), ["signal_class", "attenuation_db", "detector"], "coverage", 0.30)
+    return r.groupBy("signal_class", "attenuation_db").pivot("detector").agg(F.max("rate"))
 
 
 @query(f"""WITH {_METRICS}, f AS (SELECT DISTINCT ON (file_stem, frame_number, detector) file_stem, frame_number, detector, coverage FROM m ORDER BY file_stem, frame_number, detector, ann_idx),
-p AS (SELECT file_stem, frame_number, max(coverage) FILTER (WHERE detector = 'coherent_sum') AS a, max(coverage) FILTER (WHERE detector = 'energy_gate') AS b, max(coverage) FILTER (WHERE detector = 'segmenter_large') AS c FROM f GROUP BY 1, 2)
-SELECT file_stem, frame_number, round(a - greatest(b, c), 9) AS lead FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL""")
+p AS (SELECT file_stem, frame_number, max(coverage) FILTER (WHERE detector = 'coherent_sum') AS own, max(coverage) FILTER (WHERE detector <> 'coherent_sum') AS other FROM f GROUP BY 1, 2)
+SELECT file_stem, frame_number, round(own - other, 9) AS lead FROM p WHERE own IS NOT NULL AND other IS NOT NULL""")
 def detector_lead(spark, folder):
-    """How far one detector's first region of a frame is ahead of the best other one."""
+    """How far one detector's first region of a frame is ahead of the best other one, whichever detectors there are."""
+    m = _metrics(spark, folder)
+    first = m.groupBy("file_stem", "frame_number", "detector").agg(F.min_by(F.struct("coverage"), "ann_idx").alias("first"))
+    c, own = F.col("first.coverage"), F.col("detector") == "coherent_sum"
+    p = first.groupBy("file_stem", "frame_number").agg(F.max(F.when(own, c)).alias("own"), F.max(F.when(~own, c)).alias("other"))
+    return p.where("own is not null and other is not null").select("file_stem", "frame_number", F.round(F.col("own") - F.col("other"), 9).alias("lead"))
+
+
+@query(f"""WITH {_METRICS}, f AS (SELECT DISTINCT ON (file_stem, frame_number, detector) file_stem, frame_number, detector, signal_class, coverage FROM m ORDER BY file_stem, frame_number, detector, ann_idx),
+p AS (SELECT file_stem, frame_number, max(coverage) FILTER (WHERE detector = 'coherent_sum') AS own, max(coverage) FILTER (WHERE detector <> 'coherent_sum') AS other, max(signal_class) AS signal_class FROM f GROUP BY 1, 2)
+SELECT signal_class, file_stem, frame_number, round(own - other, 9) AS lead, rank FROM (SELECT *, row_number() OVER (PARTITION BY signal_class ORDER BY round(own - other, 9) DESC, file_stem, frame_number) AS rank FROM p WHERE own IS NOT NULL AND other IS NOT NULL) WHERE rank <= 3""")
+def widest_leads(spark, folder):
+    """The three frames of each class in which one detector is furthest ahead of all others."""
     m = _metrics(spark, folder)
-    first = m.groupBy("file_stem", "frame_number").pivot("detector", ["coherent_sum", "energy_gate", "segmenter_large"]).agg(F.min_by(F.struct("coverage"), "ann_idx"))
-    a, b, c = (F.col(f"{d}.coverage") for d in ("coherent_sum", "energy_gate", "segmenter_large"))
-    return first.where(a.isNotNull() & b.isNotNull() & c.isNotNull()).select("file_stem", "frame_number", F.round(a - F.greatest(b, c), 9).alias("lead"))
+    first = m.groupBy("file_stem", "frame_number", "detector").agg(F.min_by(F.struct("coverage", "signal_class"), "ann_idx").alias("first"))
+    c, own = F.col("first.coverage"), F.col("detector") == "coherent_sum"
+    p = first.groupBy("file_stem", "frame_number").agg(F.max(F.when(own, c)).alias("own"), F.max(F.when(~own, c)).alias("other"), F.max("first.signal_class").alias("signal_class"))
+    p = p.where("own is not null and other is not null").select("signal_class", "file_stem", "frame_number", F.round(F.col("own") - F.col("other"), 9).alias("lead"))
+    w = Window.partitionBy("signal_class").orderBy(F.desc("lead"), "file_stem", "frame_number")
+    return p.withColumn("rank", F.row_number().over(w)).where("rank <= 3")  # the k best of a partition are kept before the shuffle
 
 
 @query(f"""WITH {_METRICS}, g AS (SELECT detector, CASE WHEN coverage >= t.x THEN 1 ELSE 0 END AS got, box_iou >= 0.5 AS truth, t.x FROM m, (SELECT round(k * 0.05, 2) AS x FROM range(1, 20) r(k)) t WHERE coverage IS NOT NULL),
@@ -198,10 +217,7 @@ def trace_latency(spark, folder):
         F.struct(F.col("detector").alias("op"), (start + 2).alias("recv_us"), (start + us).alias("pub_us")),
     )
     text = trace_lines(l.select(ops.alias("ops")), "ops")
-    from wavemill.session import scratch_dir
-    import uuid
-
-    at = f"{scratch_dir(spark)}/traces-{uuid.uuid4().hex}"
+    at = scratch_path(spark, "traces")
     text.write.text(at)
     p = path_latency(parse_traces(spark.read.text(at)))
     return p.groupBy(F.element_at(F.split("path", " -> "), -1).alias("detector")).agg(F.count(F.lit(1)).alias("n"), F.max("latency_ms").alias("most"), F.round(F.avg("latency_ms"), 5).alias("mean"))

@@ -7,12 +7,10 @@ replaces itself. In update mode the latest batch that tells a key is its result.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.session import scratch_dir
+from wavemill.session import scratch_path
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 8) -> DataFrame:
@@ -24,7 +22,7 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
 def run_available(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """The result of a stream over all that is available. ``keys``: in update mode, what the last update of counts."""
     spark = stream.sparkSession
-    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
     out = f"{base}/out"
 
     def store(batch: DataFrame, number: int) -> None:
