@@ -1,42 +1,78 @@
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wavemill.operators.nested import metadata_children, metadata_projects, shred, triples
+from wavemill.operators import nested as N
+from wavemill.operators.nested import metadata_children, metadata_libraries, metadata_projects, shred
 
-VALUES = st.recursive(st.none() | st.booleans() | st.integers(-10**6, 10**6) | st.text(max_size=8), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4).filter(lambda k: k != "[]"), x, max_size=4), max_leaves=12)
+KEYS = st.text(max_size=4)
+VALUES = st.recursive(st.none() | st.booleans() | st.integers(-10**6, 10**6) | st.text(max_size=8), lambda x: st.lists(x, max_size=4) | st.dictionaries(KEYS, x, max_size=4), max_leaves=12)
 
 
-def walk(v, path=(), places=()):
+def parse(text):
+    return N.parse(text, N.decoder())
+
+
+def plain(v):
+    """A value as the parser has it: numbers as text."""
     if isinstance(v, dict):
-        yield path, places, "object", None
-        for k, x in v.items():
-            yield from walk(x, (*path, k), places)
-    elif isinstance(v, list):
-        yield path, places, "array", None
-        for i, x in enumerate(v):
-            yield from walk(x, (*path, "[]"), (*places, i))
-    elif v is None:
-        yield path, places, "null", None
-    elif isinstance(v, bool):
-        yield path, places, "bool", str(v).lower()
-    else:
-        yield path, places, "string" if isinstance(v, str) else "number", v if isinstance(v, str) else str(v)
+        return {k: plain(x) for k, x in v.items()}
+    if isinstance(v, list):
+        return [plain(x) for x in v]
+    return v if v is None or isinstance(v, (bool, str)) else N.Number(v)
 
 
 @given(VALUES, st.sampled_from([None, 1]))
 @settings(max_examples=300, deadline=None)
-def test_triples_are_a_walk_of_the_value(v, indent):
-    assert [(tuple(p), tuple(o), k, x) for p, o, k, x in triples(json.dumps(v, indent=indent))] == list(walk(v))
+def test_both_parsers_and_back(v, indent):
+    text = json.dumps(v, indent=indent)
+    assert parse(text) == N._parse_deep(text) == plain(v)
 
 
 def test_what_is_no_json():
-    for text in ("", " ", "{", "[1,]", '{"a":1,}', '{"a" 1}', "nul", "NaN", "[1] 2", "01", '"\t"', '{"a":1', "[1 2]", "{1:2}", '"\\x"', "﻿1", None):
-        assert triples(text) is None
-    assert triples("1.50") == [([], [], "number", "1.50")]
-    assert [x[3] for x in triples('{"a": 1, "b": 2, "a": 3}') if x[2] == "number"] == ["2", "3"]
-    assert len(triples("[" * 5000 + "]" * 5000)) == 5000
+    for text in ("", " ", "{", "[1,]", '{"a":1,}', '{"a" 1}', "nul", "NaN", "-Infinity", "[1] 2", "01", '"\t"', '{"a":1', "[1 2]", "{1:2}", '"\\x"', "\ufeff1", "]", "[}", '{"a"}', "{,}"):
+        for read in (parse, N._parse_deep):
+            with pytest.raises(ValueError):
+                read(text)
+    assert parse("1.50") == "1.50" and parse('{"a": 1, "b": 2, "a": 3}') == {"a": "3", "b": "2"}
+    n = 0
+    for c in N.cells(parse("[" * 50_000 + "]" * 50_000), N._steps((), [("[]",)])):
+        n += 1
+    assert n == 1
+
+
+@given(VALUES)
+@settings(max_examples=200, deadline=None)
+def test_every_scalar_has_one_cell(v):
+    got = list(N.cells(plain(v), N._steps((), None)))
+    assert len({c[:3] for c in got}) == len(got)
+
+    def scalars(x):
+        if isinstance(x, dict):
+            return [y for z in x.values() for y in scalars(z)]
+        return [y for z in x for y in scalars(z)] if isinstance(x, list) else [x]
+
+    told = [str(x).lower() if isinstance(x, bool) else x if x is None or isinstance(x, str) else str(x) for x in scalars(v)]
+    key = lambda x: (x is None, x or "")
+    assert sorted((c[4] for c in got if c[3] not in ("object", "array")), key=key) == sorted(told, key=key)
+
+
+def test_tables_of_any_nesting(spark):
+    """Repeated ancestors are found in the data, and a lone element counts where it is told so."""
+    texts = ['{"a": {"b": [{"c": [1, 2], "d.e": "x"}, {"d.e": "y", "f": {"g": true}}]}, "h": 1.50}', '{"a": {"b": {"c": 7}}}', "no", '[["p"], ["q", "r"]]']
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    t = N.flat_tables(df, "id", "t", lists=[("a", "b"), ("a", "b", "[]", "c")])
+    rows = lambda name, *c: sorted(((r.id, r.parent, r.ordinals, *(r[x] for x in c)) for r in t[name].collect()), key=repr)
+    assert set(t) == {"", "a.b[]", "a.b[].c[]", "[]", "[][]"}
+    assert rows("", "h") == [(0, None, [], "1.50"), (1, None, [], None), (3, None, [], None)]
+    assert rows("a.b[]", "d\\.e", "f.g") == [(0, [], [0], "x", None), (0, [], [1], "y", "true"), (1, [], [0], None, None)]
+    assert rows("a.b[].c[]", "value") == [(0, [0], [0, 0], "1"), (0, [0], [0, 1], "2"), (1, [0], [0, 0], "7")]
+    assert rows("[][]", "value") == [(3, [0], [0, 0], "p"), (3, [1], [1, 0], "q"), (3, [1], [1, 1], "r")]
+    with pytest.raises(ValueError):
+        N.found_tables(shred(df, "id", "t"), most=1)
+    assert N.flat_tables(df.limit(0), "id", "t") == {}
 
 
 def children(spark, *texts):
@@ -65,3 +101,5 @@ def test_projects_and_empty(spark):
     assert (r.record_id, r.content, r["name"], r.version, r.n_authors, r.n_tags) == (1, "tutorial", "n", "1.0", 1, 2)
     assert metadata_children(df.limit(0)).count() == 0
     assert shred(df, "record_id", "raw_json").where("kind = 'array'").count() == 1
+    lib = spark.createDataFrame([(1, '{"operator": {"dependencies": {"libraries": [{"name": " a ", "version": 1.20}, "b", null]}}}', None)], df.schema)
+    assert sorted(tuple(r) for r in metadata_libraries(lib).collect()) == [(1, 0, "operator", 0, "a", "1.20"), (1, 0, "operator", 1, None, None), (1, 0, "operator", 2, None, None)]
