@@ -25,6 +25,7 @@ CELLS = "path string, ordinals array<int>, field string, kind string, value stri
 MOST_COLUMNS = 2_000
 
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|(")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?)|(true|false|null))', re.ASCII)
+_MARKS = re.compile(r'[\\.\["]')
 _END = re.compile(r"[ \t\n\r]*\Z")
 
 
@@ -116,7 +117,9 @@ def _steps(lists: Iterable[tuple[str, ...]], only: Iterable[tuple[str, ...]] | N
 
 
 def _escaped(key: str) -> str:
-    return key if "." not in key and "[" not in key and "\\" not in key else re.sub(r"([\\.\[])", r"\\\1", key)
+    if key and not _MARKS.search(key):
+        return key
+    return _MARKS.sub(r"\\\g<0>", key) or '""'
 
 
 _NOTHING: dict = {}
@@ -159,7 +162,8 @@ def shred(records: DataFrame, key: str, text: str, lists: Iterable[tuple[str, ..
     none). ``only``: the paths wanted, all if not given; a path is a tuple of
     keys, ``[]`` for an array's elements and ``*`` for any key, and takes in all
     below it if it ends with ``**``. Other parts of a record give no rows. Dots,
-    brackets and backslashes in keys are told with a backslash before them.
+    brackets, quotes and backslashes in keys are told with a backslash before
+    them, an empty key as two quotes.
     """
     steps = _steps(lists, only)
     arrow = pa.schema([("k", pa.int64()), ("path", pa.string()), ("ordinals", pa.list_(pa.int32())), ("field", pa.string()), ("kind", pa.string()), ("value", pa.string())])
