@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from wavemill.llm.splits import capture_groups, capture_splits
 from wavemill.sources.tables import table
 
 
-def _runs(spark: SparkSession, folder: str) -> DataFrame:
-    return collapse_runs(table(spark, folder, "snippets"), ["stem", "channel"], ["frame_number", "orig_sample_start"], "orig_sample_start", "orig_sample_count", "annotations")
+def _runs(spark: SparkSession, folder: str, penalty: float = math.inf) -> DataFrame:
+    return collapse_runs(table(spark, folder, "snippets"), ["stem", "channel"], ["frame_number", "orig_sample_start"], "orig_sample_start", "orig_sample_count", "annotations", penalty=penalty)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,6 +28,11 @@ def p2_runs(spark: SparkSession, folder: str) -> DataFrame:
     return _runs(spark, folder)
 
 
+def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a price on spread, so that slow drifts fall into runs of near-identical events."""
+    return _runs(spark, folder, 2.0)
+
+
 LATENCY_PCTS, SHARE_PCTS = [50, 90, 99], [25, 50, 75]
 # A share's percentile is a case above these.
 SHARE_LIMITS = {"coverage": 0.30, "box_iou": 0.50}
@@ -107,6 +114,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_runs": p2_runs,
+    "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p3_quantiles": p3_quantiles,
     "p3_days_merged": p3_days_merged,
