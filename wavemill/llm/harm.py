@@ -10,9 +10,10 @@ form, whose inner letters are sorted, so that swapped letters make no difference
 Only readers' verdicts are learned from: a bounded sample of labelled documents,
 ``LABELLED_DOCS`` by hash, all of them where there are fewer. No document is
 scored by its own verdict: the sample is cut into folds, sequences are weighed
-without the fold of the document they are used on, and its trees come from other
-folds too. The last fold only calibrates. Every document is scored, whole,
-without a shuffle; the terms, at most ``MOST_TERMS``, and the sequences found in
+without the fold of the document they are used on, and of two sets of trees, each
+from one half of the folds, a document gets the one that hasn't seen it, any
+other document the mean of both. Those unseen margins are what calibration is
+fitted on. Every document is scored, whole, without a shuffle; the terms, at most ``MOST_TERMS``, and the sequences found in
 the sample are broadcast. Features are computed for a batch of documents at
 once, each different word being looked at once.
 """
@@ -38,7 +39,7 @@ from wavemill.session import small_side, within, written
 
 LABELLED_DOCS = 100_000
 MOST_TERMS = 500_000
-FOLDS = 5
+FOLDS = 10
 LONGEST = 3  # words in a weighed sequence
 MIN_DOCS = 3
 THRESHOLD = 0.5
@@ -343,24 +344,26 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = LABELLED_DOCS) -> D
 
 @dataclass
 class Scorer:
-    """``trees``: by all folds but the last one; ``halves``: by the later and the earlier half of those, for documents of the other half."""
+    """``halves``: trees by the later and by the earlier half of the folds, each for documents of the other half."""
 
     lexicon: Lexicon
     folds: DataFrame
-    trees: GBTClassificationModel
     halves: tuple[GBTClassificationModel, GBTClassificationModel]
     calibration: IsotonicRegressionModel
 
     def score(self, docs: DataFrame, *keep: str) -> DataFrame:
         """``keep`` and ``score``, the calibrated probability, of every row; a null or empty text has none of the marks. ``docs`` has a ``doc_id``, by which a labelled one is known."""
-        rows = docs.join(self.folds, "doc_id", "left")
-        x = _with_features(rows, [*keep, "fold"], self.lexicon)
-        x = x.select(*keep, "fold", array_to_vector("x").alias("features"))
-        for name, model in (("_all", self.trees), ("_first", self.halves[0]), ("_second", self.halves[1])):
-            x = model.transform(x).select(*x.columns, vector_to_array("rawPrediction")[1].alias(name))
-        half = (FOLDS - 1) // 2
-        margin = F.when(F.col("fold") < half, F.col("_first")).when(F.col("fold") < FOLDS - 1, F.col("_second")).otherwise(F.col("_all"))
-        return self.calibration.transform(x.withColumn("margin", margin)).select(*keep, F.col("calibrated").alias("score"))
+        x = _with_features(docs.join(self.folds, "doc_id", "left"), [*keep, "fold"], self.lexicon)
+        x = _margins(x.select(*keep, "fold", array_to_vector("x").alias("features")), self.halves)
+        return self.calibration.transform(x).select(*keep, F.col("calibrated").alias("score"))
+
+
+def _margins(x: DataFrame, halves: tuple[GBTClassificationModel, GBTClassificationModel]) -> DataFrame:
+    """``margin`` by the trees that haven't seen a document, the mean of both where its ``fold`` is null."""
+    for name, model in zip(("_first", "_second"), halves, strict=True):
+        x = model.transform(x).select(*x.columns, vector_to_array("rawPrediction")[1].alias(name))
+    margin = F.when(F.col("fold") < FOLDS // 2, F.col("_first")).when(F.col("fold").isNotNull(), F.col("_second")).otherwise((F.col("_first") + F.col("_second")) / 2)
+    return x.withColumn("margin", margin)
 
 
 def _fit(x: DataFrame, sizes: dict, folds: list[int], trees: int, depth: int, seed: int) -> GBTClassificationModel:
@@ -382,21 +385,17 @@ def given_terms(terms: DataFrame, most: int = MOST_TERMS) -> dict[str, list[tupl
 
 
 def train(docs: DataFrame, labels: DataFrame, terms: DataFrame, most: int = LABELLED_DOCS, trees: int = 40, depth: int = 4, seed: int = 7) -> Scorer:
-    """Fit the sequences' weights, the trees on all folds but one, and the calibration on that one.
+    """Fit the sequences' weights, the trees of both halves of the folds, and the calibration on the margins of documents that the trees haven't seen.
 
-    A document of the training folds is weighed without its own fold and without
-    the last one; one of the last fold without that; any other with all. Null
-    terms and labels are left out. Where a half of the training folds or the
-    calibration fold lacks verdicts of a kind, nothing can be learned and a
-    ValueError says so.
+    Null terms and labels are left out. Where a half lacks verdicts of a kind,
+    nothing can be learned and a ValueError says so.
     """
     given = given_terms(terms)
     known = written(labelled(docs, labels, most), "labelled")
     sizes = {(r["positive"], r["fold"]): r["count"] for r in known.groupBy("positive", "fold").count().collect()}
-    half, last = (FOLDS - 1) // 2, FOLDS - 1
-    parts = {"all": list(range(last)), "second": list(range(half, last)), "first": list(range(half))}
-    if not all(any(sizes.get((p, f), 0) for f in folds) for p in (0, 1) for folds in (*parts.values(), [last])):
-        raise ValueError("verdicts of both kinds are needed, for training and for calibration")
+    halves = (list(range(FOLDS // 2, FOLDS)), list(range(FOLDS // 2)))
+    if not all(any(sizes.get((p, f), 0) for f in folds) for p in (0, 1) for folds in halves):
+        raise ValueError("verdicts of both kinds are needed, in both halves of the sample")
     counts = _keyed(known).groupBy("seq").agg(
         *[F.sum(F.when((F.col("fold") == f) & (F.col("positive") == p), 1).otherwise(0)).alias(f"n{p}_{f}") for p in (0, 1) for f in range(FOLDS)]
     )
@@ -404,7 +403,7 @@ def train(docs: DataFrame, labels: DataFrame, terms: DataFrame, most: int = LABE
     table = counts.where(every >= MIN_DOCS).orderBy("seq").toPandas()  # of the bounded sample: at least MIN_DOCS of its documents have each
     weights = np.zeros((len(table), FOLDS + 1))
     for column in range(FOLDS + 1):
-        used = list(range(FOLDS)) if column == 0 else [f for f in range(last) if f != column - 1]
+        used = [f for f in range(FOLDS) if f != column - 1]
         n = [sum(table[f"n{p}_{f}"].to_numpy(float) for f in used) for p in (0, 1)]
         whole = [sum(v for (q, f), v in sizes.items() if q == p and f in used) for p in (0, 1)]
         w = np.log((n[1] + 0.3) / (whole[1] + 1)) - np.log((n[0] + 0.3 * max(1.0, whole[0] / max(1, whole[1]))) / (whole[0] + 1))
@@ -413,11 +412,11 @@ def train(docs: DataFrame, labels: DataFrame, terms: DataFrame, most: int = LABE
     lexicon = Lexicon(given, table["seq"][use].tolist(), weights[use])
     spread = known.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     x = written(_with_features(spread, ["positive", "weight", "fold"], lexicon), "features").select("positive", "weight", "fold", array_to_vector("x").alias("features"))
-    with ThreadPoolExecutor(3) as pool:  # three fits of many small jobs each
-        models = dict(zip(parts, pool.map(lambda folds: _fit(x, sizes, folds, trees, depth, seed), parts.values()), strict=True))
-    held = models["all"].transform(x.where(F.col("fold") == last)).select(F.col("positive").cast("double").alias("label"), F.col("weight"), vector_to_array("rawPrediction")[1].alias("margin"))
+    with ThreadPoolExecutor(2) as pool:  # two fits of many small jobs each
+        models = tuple(pool.map(lambda folds: _fit(x, sizes, folds, trees, depth, seed), halves))
+    held = _margins(x, models).select(F.col("positive").cast("double").alias("label"), "weight", "margin")
     iso = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(held)
-    return Scorer(lexicon, F.broadcast(known.select("doc_id", "fold").distinct()), models["all"], (models["second"], models["first"]), iso)  # at most ``most`` rows
+    return Scorer(lexicon, F.broadcast(known.select("doc_id", "fold").distinct()), models, iso)  # at most ``most`` rows
 
 
 def scored(docs: DataFrame, labels: DataFrame, terms: DataFrame) -> DataFrame:
