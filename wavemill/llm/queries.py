@@ -12,7 +12,7 @@ from wavemill.llm import percentiles as pct
 from wavemill.llm.leaks import find_leaks
 from wavemill.llm.mixing import mix
 from wavemill.llm.runs import collapse_runs
-from wavemill.llm.splits import capture_groups, capture_splits
+from wavemill.llm.splits import capture_groups, capture_splits, split_deviation
 from wavemill.sources.tables import table
 
 
@@ -81,6 +81,11 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     return capture_splits(table(spark, folder, "captures"), table(spark, folder, "regions"))
 
 
+def p4_deviation(spark: SparkSession, folder: str) -> DataFrame:
+    """What each split has of each label and of all regions."""
+    return split_deviation(table(spark, folder, "captures"), table(spark, folder, "regions"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_leaks(spark, folder).where("distance = 0").select("doc_id", "item_id")
 
@@ -120,6 +125,7 @@ QUERIES = {
     "p3_days_merged": p3_days_merged,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
+    "p4_deviation": p4_deviation,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
     "p7_mix": p7_mix,

@@ -6,23 +6,30 @@ entities, then follows labels of labels; the distance to the least record
 halves, so rounds grow with the logarithm of a component's diameter. A round's
 result is a written table. Hot keys are salted.
 
-Components are then assigned whole. Those that hold a thousandth of the weight
-or more, at most a thousand, are placed one by one, the largest first, where the
-label distributions of the splits deviate least. All others fill what each split
-lacks of their main label, in the order of a hash; their running sums come from
-two levels of windows, so that no task sees a whole label.
+Components are then assigned whole, every one where the label distributions of
+the splits deviate least from the shares wanted, larger ones first. All labels
+count, and so does the weight as a whole. Those that hold a thousandth of the
+weight or more, at most a thousand, are placed first; what each split then lacks
+of each label is shared out over hash shards of the others, which are placed in
+parallel, a bounded number in each shard.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.operators.names import region_captures
 from wavemill.session import small_side, within, written
 
 HOT_DEGREE, SALTS = 10_000, 32
-HEAVY_SHARE, STRATA, BUCKETS = 1_000, 64, 1_024
+HEAVY_SHARE, SHARD_UNITS = 1_000, 2_000
+#: More different labels than this are an error: each has a target of its own.
+MOST_LABELS = 100_000
 
 
 def _hot(edges: DataFrame, key: str) -> DataFrame | None:
@@ -68,73 +75,96 @@ def components(records: DataFrame, edges: DataFrame, record: str, entity: str) -
         # The label that the heard record itself has is as good, and may be smaller.
         further = labels.select(F.col("r").alias("heard"), F.col("label").alias("further"))
         further = F.broadcast(further) if few else further
-        new = labels.join(heard, "r").join(further, "heard").select("r", F.least("label", "heard", "further").alias("label"), F.col("label").alias("was"))
-        new = written(new, "labels")
+        told = labels.join(heard, "r")
+        if few:
+            both = told.join(further, "heard")
+        else:  # most of a large component hears one label
+            told = written(told, "heard")
+            hot = _hot(told, "heard")
+            both = _onto(_salted(told, "heard", "r", hot, "salt_h"), further, "heard", hot, "salt_h")
+        new = written(both.select("r", F.least("label", "heard", "further").alias("label"), F.col("label").alias("was")), "labels")
         labels = new.select("r", "label")
         if new.where("label <> was").isEmpty():
             break
     return all_records.join(labels, "r", "left").select(F.col("r").alias(record), F.coalesce("label", "r").alias("component"))
 
 
-def assign(sizes: DataFrame, unit: str, label: str, weight: str, shares: dict[str, float], seed: int = 0) -> DataFrame:
+ALL, NONE, NULL = "all", "none", "null"  # strata beside those of the labels, which begin with "=": all weight, units without weight, and the label null
+
+
+def place(units: Iterable[tuple[str, dict[str, float]]], targets: dict[str, np.ndarray]) -> tuple[dict[str, int], dict[str, np.ndarray]]:
+    """The split of each unit, and the weight that each split then has by label.
+
+    Units, with their weights by label, are taken in order of their weight, ties
+    in their own order, and go where the squared deviations from the targets,
+    over those, grow least; of equal ones to the first split.
+    """
+    have = {label: np.zeros(len(t)) for label, t in targets.items()}
+    least = {label: np.maximum(t, max(float(t.sum()) * 1e-3, 1e-9)) for label, t in targets.items()}
+    out = {}
+    for u, own in sorted(units, key=lambda kv: (-kv[1].get(ALL, 0.0), kv[0])):
+        worse = sum((w * (2 * (have[x] - targets[x]) + w) / least[x] for x, w in own.items()), np.float64(0))
+        best = int(np.argmin(worse))
+        for x, w in own.items():
+            have[x][best] += w
+        out[u] = best
+    return out, have
+
+
+def assign(sizes: DataFrame, unit: str, label: str, weight: str, shares: dict[str, float]) -> DataFrame:
     """``unit, split``: each unit whole in one split, near the given shares of the weight, overall and per label.
 
     ``sizes`` has the weight of each (unit, label). Shares are scaled to 1. Null
-    units are left out; a null label is a label; units without weight are placed
-    by their hash.
+    units are left out; a null label is a label; units without weight are spread
+    by the shares as well. More than ``MOST_LABELS`` labels are a ValueError.
     """
+    spark = sizes.sparkSession
     names = list(shares)
-    part = [shares[n] / sum(shares.values()) for n in names]
-    base = sizes.where(F.col(unit).isNotNull()).groupBy(F.col(unit).alias("u"), F.coalesce(F.col(label).cast("string"), F.lit("\0null")).alias("l")).agg(F.coalesce(F.sum(weight), F.lit(0)).cast("double").alias("w"))
+    part = np.array([shares[n] / sum(shares.values()) for n in names])
+    base = sizes.where(F.col(unit).isNotNull()).groupBy(F.col(unit).alias("u"), F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit(NULL)).alias("l")).agg(F.greatest(F.coalesce(F.sum(weight), F.lit(0)), F.lit(0)).cast("double").alias("w"))
     base = written(base, "sizes")
-    frequent = [r["l"] for r in base.groupBy("l").agg(F.sum("w").alias("w")).orderBy(F.desc("w"), "l").limit(STRATA).collect()]
-    base = base.withColumn("l", F.when(F.col("l").isin(frequent), F.col("l")).otherwise(F.lit("\0rest"))).groupBy("u", "l").agg(F.sum("w").alias("w"))
-    totals = {r["l"]: r["w"] for r in base.groupBy("l").agg(F.sum("w").alias("w")).collect()}  # at most STRATA + 1
-    everything = sum(totals.values())
-    units = base.groupBy("u").agg(F.sum("w").alias("size"), F.max_by("l", F.struct("w", "l")).alias("main"))
-    units = written(units, "units")
-    heavy = units.where(F.col("size") > 0).where(F.col("size") >= everything / HEAVY_SHARE).select("u")
+    units = base.groupBy("u").agg(F.sum("w").alias("w"))
+    whole = units.select("u", F.when(F.col("w") > 0, ALL).otherwise(NONE).alias("l"), F.when(F.col("w") > 0, F.col("w")).otherwise(1.0).alias("w"))
+    base = written(base.where("w > 0").unionByName(whole), "strata")
+    summed = base.groupBy("l").agg(F.sum("w").alias("w"))
+    if not within(summed, MOST_LABELS):
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    totals = {r["l"]: r["w"] for r in summed.collect()}
+    heavy = base.where((F.col("l") == ALL) & (F.col("w") >= totals.get(ALL, 0.0) / HEAVY_SHARE)).select("u")
     big: dict[str, dict[str, float]] = {}
     for r in base.join(F.broadcast(heavy), "u").collect():  # at most HEAVY_SHARE units
         big.setdefault(r["u"], {})[r["l"]] = r["w"]
-    have = [dict.fromkeys(totals, 0.0) for _ in names]
-    placed: list[tuple[str, str]] = []
+    placed, have = place(big.items(), {x: part * w for x, w in totals.items()})
+    lack = {x: np.maximum(part * w - have[x], 0.0) for x, w in totals.items()}
+    due = [(x, (v / v.sum() if v.sum() > 0 else part).tolist()) for x, v in lack.items()]
+    kind = sizes.schema[unit].dataType.simpleString()
+    first = spark.createDataFrame([(u, names[k]) for u, k in placed.items()], f"u {kind}, split string")
 
-    def cost(s: int, own: dict[str, float]) -> float:
-        """How much worse the label distribution of split s gets."""
-        now = lambda extra: sum(((have[s][x] + extra.get(x, 0.0) - part[s] * totals[x]) / max(totals[x], 1.0)) ** 2 * totals[x] for x in totals)
-        return (now(own) - now({})) / max(part[s], 1e-9)
+    light = base.join(F.broadcast(heavy), "u", "left_anti")
+    shards = max(1, -(-light.where(F.col("l").isin(ALL, NONE)).count() // SHARD_UNITS))
+    light = light.join(small_side(spark.createDataFrame(due, "l string, due array<double>")), "l").withColumn("shard", F.pmod(F.xxhash64("u"), F.lit(shards)))
 
-    for u, own in sorted(big.items(), key=lambda kv: (-sum(kv[1].values()), kv[0])):
-        best = min(range(len(names)), key=lambda s: (cost(s, own), s))
-        for x, w in own.items():
-            have[best][x] += w
-        placed.append((u, names[best]))
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        own: dict[str, dict[str, float]] = {}
+        for u, x, w in zip(rows["u"], rows["l"], rows["w"], strict=True):
+            own.setdefault(u, {})[x] = w
+        each = rows.groupby("l").agg({"w": "sum", "due": "first"})
+        got, _ = place(own.items(), {x: np.array(d) * w for x, w, d in zip(each.index, each["w"], each["due"], strict=True)})
+        return pd.DataFrame({"u": list(got), "split": [names[k] for k in got.values()]})
 
-    spark = sizes.sparkSession
-    quota = []
-    for x in totals:
-        lacking = [max(0.0, part[s] * totals[x] - have[s][x]) for s in range(len(names))]
-        whole = sum(lacking)
-        upto = 0.0
-        for s, n in enumerate(names):
-            upto += lacking[s] / whole if whole else part[s]
-            quota.append((x, n, 1.0 + 1e-9 if s == len(names) - 1 else upto, s))
-    limits = spark.createDataFrame(quota, "main string, split string, upto double, rank int").groupBy("main").agg(F.sort_array(F.collect_list(F.struct("upto", "rank", "split"))).alias("limits"))
-
-    light = units.join(F.broadcast(heavy), "u", "left_anti").withColumn("h", F.xxhash64("u", F.lit(seed)))
-    light = light.withColumn("b", F.pmod("h", F.lit(BUCKETS)))
-    per = light.groupBy("main", "b").agg(F.sum("size").alias("s"))
-    w = Window.partitionBy("main")
-    per = per.select("main", "b", F.coalesce(F.sum("s").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.sum("s").over(w).alias("all"))
-    inside = Window.partitionBy("main", "b").orderBy("h", "u").rowsBetween(Window.unboundedPreceding, 0)
-    light = light.withColumn("upto", F.sum("size").over(inside)).join(F.broadcast(per), ["main", "b"])  # at most STRATA * BUCKETS rows
-    middle = F.when(F.col("all") > 0, (F.col("before") + F.col("upto") - F.col("size") / 2) / F.col("all")).otherwise(F.pmod("h", F.lit(10_000)) / 10_000)
-    chosen = light.join(F.broadcast(limits), "main").withColumn("m", middle)
-    split: Column = F.element_at(F.filter("limits", lambda x: x["upto"] >= F.col("m")), 1)["split"]
-    small = chosen.select(F.col("u").alias(unit), split.alias("split"))
-    kind = sizes.schema[unit].dataType.simpleString()
-    return small.unionByName(spark.createDataFrame(placed, f"{unit} {kind}, split string")) if placed else small
+    rest = light.groupBy("shard").applyInPandas(solve, f"u {kind}, split string")
+    return first.unionByName(rest).withColumnRenamed("u", unit)
+
+
+def deviation(sizes: DataFrame, assigned: DataFrame, unit: str, label: str, weight: str, shares: dict[str, float]) -> DataFrame:
+    """``label, all, split, n, share, wanted``: what each split has of each label's weight, 0 where it has none; with ``all``, of all labels together."""
+    each = sizes.groupBy(unit, F.col(label).alias("label")).agg(F.sum(weight).alias("n")).join(assigned, unit).groupBy("label", "split").agg(F.sum("n").alias("n")).where("n > 0")
+    every = each.groupBy("split").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("label"), "split", "n", F.lit(True).alias("all"))
+    each = each.select("label", "split", "n", F.lit(False).alias("all")).unionByName(every)
+    total = each.groupBy("label", "all").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("split", "n"))).alias("by"))  # one entry a split
+    out = total.select("label", "all", "total", "by", F.explode(F.array(*[F.struct(F.lit(k).alias("split"), F.lit(v / sum(shares.values())).alias("wanted")) for k, v in shares.items()])).alias("s"))
+    n = F.coalesce(F.try_element_at("by", F.col("s.split")), F.lit(0))
+    return out.select("label", "all", F.col("s.split").alias("split"), n.alias("n"), (n / F.col("total")).alias("share"), F.col("s.wanted").alias("wanted"))
 
 
 # --- captures, their scenes and their emissions -------------------------
@@ -151,15 +181,27 @@ def capture_groups(captures: DataFrame, regions: DataFrame) -> DataFrame:
     return components(stems, scenes.unionByName(emissions), "stem", "e")
 
 
-def capture_splits(captures: DataFrame, regions: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
-    """``stem, group_stem, split``, in proportion by rows of ``regions`` (repeats count once), 70/15/15 unless told otherwise."""
-    groups = written(capture_groups(captures, regions).withColumnRenamed("component", "group_stem"), "groups")
+SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
+
+
+def _group_sizes(groups: DataFrame, captures: DataFrame, regions: DataFrame) -> DataFrame:
+    """``group_stem, label, n``: regions of each group by label, repeats once; a group without any has a row."""
     frame = F.when(F.col("frame_id").contains("#"), F.substring_index("frame_id", "#", -1))
     keys = ["ann_idx", "row0", "row1", "col0", "col1"]
     rows = region_captures(regions.withColumn("_frame", frame), captures, "_frame", *keys, "label").dropDuplicates(["capture", "_frame", *keys])
     sizes = rows.groupBy(F.col("capture").alias("stem"), F.upper(F.trim("label")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = groups.join(sizes, "stem", "left").select("group_stem", "label", F.coalesce("n", F.lit(0)).alias("n"))
-    chosen = assign(sizes, "group_stem", "label", "n", shares or {"train": 0.70, "val": 0.15, "test": 0.15})
+    return written(groups.join(sizes, "stem", "left").select("group_stem", "label", F.coalesce("n", F.lit(0)).alias("n")), "group-sizes")
+
+
+def capture_splits(captures: DataFrame, regions: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+    """``stem, group_stem, split``, in proportion by rows of ``regions`` (repeats count once), 70/15/15 unless told otherwise."""
+    groups = written(capture_groups(captures, regions).withColumnRenamed("component", "group_stem"), "groups")
+    chosen = assign(_group_sizes(groups, captures, regions), "group_stem", "label", "n", shares or SHARES)
     return groups.join(chosen, "group_stem").select("stem", "group_stem", "split")
 
 
+def split_deviation(captures: DataFrame, regions: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+    """How near the splits of :func:`capture_splits` come to the shares, per label and in all."""
+    groups = written(capture_groups(captures, regions).withColumnRenamed("component", "group_stem"), "groups")
+    sizes = _group_sizes(groups, captures, regions)
+    return deviation(sizes, assign(sizes, "group_stem", "label", "n", shares or SHARES), "group_stem", "label", "n", shares or SHARES)
