@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavemill.llm import mixing as M
+from wavemill.llm.queries import TOKENIZERS
 
-pytestmark = pytest.mark.skipif(not os.path.isdir(M.TOKENIZERS), reason="no tokenizer files here")
+pytestmark = pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="no tokenizer files here")
 
 DOCS = "doc_id long, text string, source string, tokens string"
 TARGETS = "source string, target_share double, max_repeats int"
@@ -20,7 +21,7 @@ def docs(spark):
 
 def test_shares_caps_and_copies(spark):
     targets = spark.createDataFrame([("web_crawl", 0.5, 1), ("tiny", 0.4, 3), ("absent", 0.1, 2), (None, 0.3, 1)], TARGETS)
-    chosen, report = M.mix(docs(spark), targets)
+    chosen, report = M.mix(docs(spark), targets, TOKENIZERS)
     r = {x.source: x for x in report.collect()}
     assert set(r) == {"web_crawl", "tiny", "absent"} and r["web_crawl"].n_docs == 4000 and r["tiny"].n_docs == 102
     assert r["tiny"].rate == 3.0 and r["absent"].share == 0 and abs(r["tiny"].share + r["web_crawl"].share - 1) < 1e-9
@@ -30,27 +31,41 @@ def test_shares_caps_and_copies(spark):
 
 def test_totals_and_strict(spark):
     targets = spark.createDataFrame([("web_crawl", 3.0, 2), ("tiny", 1.0, 4)], TARGETS)
-    _, report = M.mix(docs(spark), targets, strict=True)
+    _, report = M.mix(docs(spark), targets, TOKENIZERS, strict=True)
     r = {x.source: x for x in report.collect()}
     assert r["tiny"].rate == 4.0 and abs(r["web_crawl"].expected_share - 0.75) < 1e-9 and abs(r["web_crawl"].share - 0.75) < 0.03
     for total in (400, 3000, 10**9):
-        chosen, report = M.mix(docs(spark), targets, total_tokens=total)
+        chosen, report = M.mix(docs(spark), targets, TOKENIZERS, total_tokens=total)
         r = {x.source: x for x in report.collect()}
         most = sum(x.available_tokens * k for x, k in ((r["web_crawl"], 2), (r["tiny"], 4)))
         assert abs(sum(x.rate * x.available_tokens for x in r.values()) - min(total, most)) < 1
-        assert sorted(map(tuple, chosen.collect())) == sorted(map(tuple, M.mix(docs(spark), targets, total_tokens=total)[0].collect()))
+        assert sorted(map(tuple, chosen.collect())) == sorted(map(tuple, M.mix(docs(spark), targets, TOKENIZERS, total_tokens=total)[0].collect()))
 
 
 def test_empty_and_useless_targets(spark):
     targets = spark.createDataFrame([("web_crawl", None, None), ("tiny", -1.0, 3)], TARGETS)
-    assert M.mix(docs(spark), targets)[0].count() == 0 and M.mix(docs(spark).limit(0), targets)[1].count() == 2
-    assert M.mix(docs(spark), targets.limit(0))[0].count() == 0
-
-
-def test_tokens_of_long_texts(spark):
-    text = "the quick brown fox " * 20_000
-    got = M.token_counts(spark.createDataFrame([(1, text), (2, None)], "i int, t string"), "t", F.col("i")).collect()
-    assert {r.i: r.tokens for r in got}[2] == 0 and abs({r.i: r.tokens for r in got}[1] - M._counter(M.TOKENIZERS, M.VOCABULARY)(text)) <= 8
+    assert M.mix(docs(spark), targets, TOKENIZERS)[0].count() == 0 and M.mix(docs(spark).limit(0), targets, TOKENIZERS)[1].count() == 2
+    assert M.mix(docs(spark), targets.limit(0), TOKENIZERS)[0].count() == 0
+
+
+def test_tokens_of_long_texts(spark, monkeypatch):
+    texts = ["the quick brown fox " * 20_000, "x" * 250_000, "7" * 150_000, " " * 150_000, "a \n\n\n b\t\t c" * 9_000, "it's we'll " * 12_000 + "é…  ", "", None]
+    got = {r.i: r.tokens for r in M.token_counts(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", F.col("i"), folder=TOKENIZERS).collect()}
+    count = M._counter(TOKENIZERS, M.VOCABULARY)
+    assert got == {i: count(t) if t else 0 for i, t in enumerate(texts)}
+    monkeypatch.setattr(M, "STRETCH", 7)
+    for t in ("letters and digits 123456789, 'll  two\n\n\nthree   ", "  x\n\n\ny 's't  ", "ab" * 50, "\n \n " * 9 + "z"):
+        parts = list(M._stretches(t))
+        assert "".join(parts) == t and sum(map(count, parts)) == count(t)
+
+
+def test_records_come_as_often_as_taken(spark):
+    targets = spark.createDataFrame([("web_crawl", 0.5, 1), ("tiny", 0.4, 3)], TARGETS)
+    chosen, report = M.mix(docs(spark), targets, TOKENIZERS, strict=True)
+    rows = M.records(docs(spark), chosen).cache()
+    per = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    assert per == {r.source: r.used_tokens for r in report.collect()} and rows.count() == rows.select("doc_id", "copy_no").distinct().count()
+    assert {r.doc_id for r in rows.where("text is null").collect()} == {30_000} and M.records(docs(spark), chosen.limit(0)).count() == 0
 
 
 def test_queries_hit_every_share(spark, data):

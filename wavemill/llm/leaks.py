@@ -6,9 +6,11 @@ unchanged, so exact piece hits find every candidate; Myers' bit-parallel
 distance then verifies each candidate against the words around its hit. Pieces
 are taken at every place of an item, all of an item's passages being wanted.
 
-The corpus is read once per block of items, in place: no shuffle, no key that
-could run hot. The items' pieces are broadcast, in blocks of a fixed size; more
-items mean more blocks. Distance 0 is an exact passage.
+The corpus is read once. Up to ``BLOCK_WORDS`` words of items, a count shows, go
+out to all tasks as an index of pieces, and documents are searched in place: no
+shuffle, no key that could run hot. More items than that are joined: pieces of
+the documents, with the words around them, meet the items' pieces by what they
+say, after those that no item has were left out. Distance 0 is an exact passage.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavemill.session import written
+
 PASSAGE_WORDS, MAX_EDITS = 8, 1
-#: Words of items in a block, which bounds what is broadcast.
+#: Most words of items that are broadcast.
 BLOCK_WORDS = 500_000
 CHUNK = 400_000
 
@@ -157,17 +161,67 @@ class Pieces:
         return tuple(np.concatenate(x) for x in zip(*got, strict=True))
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, list[str]]]]:
-    block, size = [], 0
-    for r in items.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull()).distinct().toLocalIterator():
-        ws = words(r[1])
-        if block and size + len(ws) > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((r[0], ws))
-        size += len(ws)
-    if block:
-        yield block
+def _split_items(items: DataFrame, key: str, text: str) -> DataFrame:
+    """``i, w``: the words of each item, each different text once; ids and texts that are null give nothing."""
+    arrow = pa.schema([("i", pa.int64()), ("w", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([words(t.as_py()) for t in b.column(1)], pa.list_(pa.string()))], schema=arrow)
+
+    own = items.select(F.col(key).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").distinct()
+    return written(own.mapInArrow(run, "i long, w array<string>"), "items")
+
+
+def _joined(source: DataFrame, items: DataFrame, passage: int, edits: int) -> DataFrame:
+    """``d, i, distance, place`` by a join on pieces, for any number of items."""
+    size = passage // (edits + 1)
+    before, after = (passage - size) + edits, (passage - size) + edits
+    places = F.sequence(F.lit(0), F.size("w") - size)
+    owned = items.where(F.size("w") >= passage).select("i", "w", F.explode(places).alias("at"))
+    owned = owned.select("i", "at", F.expr(f"slice(w, at + 1, {size})").alias("piece"), "w")
+    # A passage with this piece at each of its places, as far as the item goes.
+    starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda k: F.struct(k.alias("nth"), (F.col("at") - k * size).alias("start"))), lambda x: (x["start"] >= 0) & (x["start"] + passage <= F.size("w")))
+    owned = owned.select("i", "piece", "w", F.inline(starts)).select("i", "piece", "nth", F.col("start").alias("place"), F.expr(f"slice(w, start + 1, {passage})").alias("passage"))
+    known = owned.select("piece").distinct()
+    arrow = pa.schema([("d", pa.int64()), ("piece", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ds, ps, ns = [], [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ws = [None] * before + words(t.as_py()) + [None] * after
+                for at in range(before, len(ws) - after - size + 1):
+                    ds.append(d)
+                    ps.append(ws[at : at + size])
+                    ns.append(ws[at - before : at + size + after])
+                    if len(ds) >= 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ds, ps, ns), arrow, strict=True)], schema=arrow)
+                        ds, ps, ns = [], [], []
+            if ds:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ds, ps, ns), arrow, strict=True)], schema=arrow)
+
+    hits = source.mapInArrow(pieces, "d long, piece array<string>, near array<string>").join(known, "piece", "left_semi")
+    pairs = hits.join(owned, "piece").select("d", "i", "place", "nth", "near", "passage")
+    out = pa.schema([("d", pa.int64()), ("i", pa.int64()), ("distance", pa.int32()), ("place", pa.int32())])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            both = pa.concat_arrays([b.column(5).flatten(), b.column(4).flatten()]).dictionary_encode()
+            n = b.num_rows * passage
+            codes = both.indices.fill_null(-1).to_numpy()
+            near = codes[n:].reshape(b.num_rows, -1)
+            nth = b.column(3).to_numpy()
+            # From ``edits`` words before where the passage would begin to as many after its end.
+            first = before - nth * size - edits
+            window = np.take_along_axis(near, first[:, None] + np.arange(passage + 2 * edits), axis=1)
+            distance = myers(codes[:n].reshape(b.num_rows, passage).astype(np.int64), window.astype(np.int64))
+            good = distance <= edits
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), b.column(1).filter(pa.array(good)), pa.array(distance[good].astype(np.int32)), b.column(2).filter(pa.array(good)).cast(pa.int32())], schema=out)
+
+    return pairs.mapInArrow(verify, "d long, i long, distance int, place int")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", passage_words: int = PASSAGE_WORDS, max_edits: int = MAX_EDITS) -> DataFrame:
@@ -183,12 +237,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     spark = docs.sparkSession
     arrow = pa.schema([("d", pa.int64()), ("i", pa.int64()), ("distance", pa.int32()), ("place", pa.int32())])
     source = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
-    found = spark.createDataFrame([], "d long, i long, distance int, place int")
-    for block in _blocks(items, item_id, text):
-        shared = spark.sparkContext.broadcast(block)
+    split = _split_items(items, item_id, text)
+    if (split.agg(F.sum(F.size("w"))).first()[0] or 0) > BLOCK_WORDS:
+        found = _joined(source, split, passage_words, max_edits)
+    else:
+        index = Pieces([(r["i"], r["w"]) for r in split.where(F.size("w") >= passage_words).orderBy("i").collect()], passage_words, max_edits)
+        shared = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            pieces = Pieces(shared.value, passage_words, max_edits)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces = shared.value
             names = np.array(pieces.item, np.int64)
             if not len(names):
                 return
@@ -209,7 +266,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
                         new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1])] if len(doc) else np.zeros(0, bool)
                         yield pa.RecordBatch.from_arrays([pa.array(ids[first + doc[new]]), pa.array(names[item[new]]), pa.array(distance[new].astype(np.int32)), pa.array(place[new].astype(np.int32))], schema=arrow)
 
-        found = found.unionByName(source.mapInArrow(run, "d long, i long, distance int, place int"))
+        found = source.mapInArrow(run, "d long, i long, distance int, place int")
     each = found.groupBy("d", "i", "place").agg(F.min("distance").alias("distance"))
     out = each.groupBy("d", "i").agg(F.min("distance").alias("distance"), F.count(F.lit(1)).alias("passages"))
     return out.select(F.col("d").alias(doc_id), F.col("i").alias(item_id), "distance", "passages")

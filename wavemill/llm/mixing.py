@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from wavemill.operators.ordered import running
 from wavemill.session import small_side, written
 
-TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary's texts are cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,21 +34,27 @@ def _counter(folder: str, vocabulary: str) -> Callable[[str], int]:
     return lambda text: len(encoding.encode_ordinary(text))
 
 
-#: A long text is counted in stretches, so that no call of the tokenizer holds more; they end at line ends or blanks.
+#: A long text is counted in stretches of about so many characters.
 STRETCH = 100_000
 
 
 def _stretches(text: str) -> Iterator[str]:
+    """A text in parts whose tokens are together those of the whole: cut where the vocabulary's pattern cuts, and not after white space, whose cutting depends on what follows."""
+    if len(text) <= STRETCH:
+        yield text
+        return
+    import regex
+
     at = 0
-    while len(text) - at > STRETCH:
-        cut = max(text.rfind("\n", at + 1, at + STRETCH), text.rfind(" ", at + 1, at + STRETCH))
-        cut = cut if cut > at else at + STRETCH
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+    for m in regex.finditer(PATTERN, text):
+        if m.end() - at >= STRETCH and not text[m.end() - 1].isspace():
+            yield text[at : m.end()]
+            at = m.end()
+    if at < len(text):
+        yield text[at:]
 
 
-def token_counts(docs: DataFrame, text: str, *keep: Column, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(docs: DataFrame, text: str, *keep: Column, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep`` and ``tokens`` of each document; null and empty texts have none."""
     source = docs.select(*keep, F.col(text).alias("_text"))
     from pyspark.sql import types as T
@@ -73,7 +78,7 @@ def source_name(c: Column) -> Column:
     return F.when(s != "", s)
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, strict: bool = False, seed: int = 0, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, folder: str, total_tokens: int | None = None, strict: bool = False, seed: int = 0, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The chosen documents and the shares reached.
 
     Chosen: ``doc_id, source, tokens, copies`` (at least 1). Shares: ``source,
@@ -90,7 +95,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, st
     reached are reported. With ``strict`` the mixture is instead the largest one
     in which no source falls short, which the scarcest source decides.
     A null or negative share or limit counts as 0, a source listed twice has the
-    sum of the shares and the smaller limit.
+    sum of the shares and the smaller limit. ``folder`` has the files of public
+    tokenizers, at the same place on every executor.
     """
     once = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id"), source_name(F.col("source")).alias("source"), "text")
     wanted = targets.groupBy(source_name(F.col("source")).alias("source")).agg(
@@ -115,6 +121,16 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, st
     return chosen, report.select("source", "target_share", "n_docs", F.col("available").cast("long").alias("available_tokens"), "rate", share("expected").alias("expected_share"), "used_docs", "used_tokens", share("used_tokens").alias("share"))
 
 
+def records(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The mixture itself, each record as often as it is taken: ``doc_id, copy_no`` (from 1), ``source, tokens, text``.
+
+    Of a document delivered again with several texts, the least one comes out.
+    """
+    text = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    each = chosen.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
+    return each.join(text, "doc_id").select("doc_id", "copy_no", "source", "tokens", "text")
+
+
 def _rates(sources: DataFrame, total: int | None, strict: bool) -> DataFrame:
     """With ``rate`` per source: its wanted tokens over those it has, at most its limit. One row per listed source passes through here."""
     able = F.col("available") * F.col("most")

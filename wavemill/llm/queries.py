@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from wavemill.llm import harm
 from wavemill.llm import percentiles as pct
 from wavemill.llm.leaks import find_leaks
-from wavemill.llm.mixing import mix
+from wavemill.llm.mixing import mix, records
 from wavemill.llm.runs import collapse_runs
 from wavemill.llm.splits import capture_groups, capture_splits, split_deviation
 from wavemill.sources.tables import table
 
 
+#: Where the tokenizer files are unless ``spark.wavemill.tokenizers`` says otherwise.
+TOKENIZERS = "/opt/tokenizers"
+
+
 def _runs(spark: SparkSession, folder: str, penalty: float = math.inf) -> DataFrame:
     return collapse_runs(table(spark, folder, "snippets"), ["stem", "channel"], ["frame_number", "orig_sample_start"], "orig_sample_start", "orig_sample_count", "annotations", penalty=penalty)
 
@@ -95,13 +99,22 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The largest mixture in which each source makes up its share. The setting ``spark.wavemill.tokenizers`` names the folder of tokenizer files."""
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), spark.conf.get("spark.wavemill.tokenizers", TOKENIZERS), strict=True)
+
+
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
-    """The largest mixture in which each source makes up its share."""
-    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), strict=True)[0]
+    return _mix(spark, folder)[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), strict=True)[1]
+    return _mix(spark, folder)[1]
+
+
+def p7_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of the mixture, each as often as it is taken."""
+    return records(table(spark, folder, "documents"), p7_mix(spark, folder))
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,6 +143,7 @@ QUERIES = {
     "p6_leaks": p6_leaks,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_records": p7_records,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,
