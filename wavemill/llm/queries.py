@@ -171,7 +171,22 @@ def _plain(c: str) -> str:
     return f"regexp_replace(regexp_replace({s}, '[\\s\\-_.]+', '_', 'g'), '^_+|_+$', '', 'g')"
 
 
+#: Wide forms of the printable ASCII characters, and those.
+_WIDE, _ASCII = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(map(chr, range(0x21, 0x7F)))
+
+
+def _words(c: str) -> str:
+    """SQL of a text's words, spelling aside."""
+    s = f"translate(regexp_replace({c}, '[\\p{{Cf}}\\x{{034F}}\\x{{115F}}\\x{{1160}}\\x{{3164}}\\x{{FFA0}}]', '', 'g'), '{_WIDE}', '{_ASCII.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_extract_all(replace(strip_accents(lower(nfc_normalize({s}))), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
+
+
 ORACLE = {
+    "p6_found": f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), i AS (SELECT item_id, {_words('text')} AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+dw AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' '))) AS x FROM d), iw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' '))) AS x FROM i)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (x)
+""",
     "p4_found": f"""
 WITH RECURSIVE caps AS (SELECT DISTINCT stem, {_plain('stem')} AS p FROM captures WHERE stem IS NOT NULL),
 raw AS (SELECT DISTINCT coalesce(stem, regexp_replace(frame_id, '#[^#]*$', '')) AS s, time_group FROM regions WHERE time_group IS NOT NULL AND time_group <> 0),
