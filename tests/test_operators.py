@@ -228,24 +228,10 @@ def test_coherent_detector_against_numpy(spark):
     assert got[5:7, 8:14].all() and not got[0].any() and not got[11].any()
 
 
-def test_quantiles_and_dead_zone(spark, tmp_path):
-    from wavemill.streaming.operators import dead_zone
-    from wavemill.streaming.runner import file_stream, run_available
-
+def test_quantiles(spark):
     rng = np.random.default_rng(12)
     v = rng.integers(0, 30, 101).tolist()
     df = spark.createDataFrame([(i, "a" if i < 60 else "b", float(x)) for i, x in enumerate(v)] + [(500, "a", None)], "t long, k string, v double")
     got = {r.k: (r.x, r.y) for r in M.quantiles(df, ["k"], "v", ["t"], {"x": 0.5, "y": 0.93}).collect()}
     assert all(np.allclose(got[k], np.quantile(x, [0.5, 0.93])) for k, x in (("a", v[:60]), ("b", v[60:])))
     assert np.isclose(M.quantiles(df, [], "v", ["t"], {"x": 0.1}).first()["x"], np.quantile(v, 0.1))
-
-    df2 = df.where("v is not null").selectExpr("k", "t as id", "timestamp_seconds(t) as at", "v")
-    df2.coalesce(1).write.parquet(str(tmp_path / "f.parquet"))
-    kept = {(r.k, r.id): r.kept for r in run_available(dead_zone(file_stream(spark, str(tmp_path), "f"), "k", "id", "at", "v", 5.0), "append").collect()}
-    want, last = {}, {}
-    for i, x in enumerate(v):
-        k = "a" if i < 60 else "b"
-        if k not in last or abs(x - last[k]) > 5:
-            last[k] = float(x)
-        want[(k, i)] = last[k]
-    assert kept == want

@@ -114,12 +114,12 @@ def document_chunks(spark, folder):
     return d.select("doc_id", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"), "text").select("doc_id", "chunk_no", F.expr("substring(text, chunk_no * 135 + 1, 150)").alias("chunk"))
 
 
-@query("""WITH s AS (SELECT DISTINCT snippet_id, stem, frame_number FROM snippets), m AS (SELECT DISTINCT detector, file_stem, frame_number, ann_idx FROM region_metrics WHERE mask_present) SELECT detector, count(*) AS n, count(DISTINCT (snippet_id)) AS n_snippets FROM s JOIN m ON m.file_stem = s.stem AND m.frame_number = s.frame_number GROUP BY 1""")
+@query("""SELECT detector, count(*) AS n, count(DISTINCT snippet_id) AS n_snippets FROM (SELECT DISTINCT m.detector, s.snippet_id, m.file_stem, m.frame_number, m.ann_idx FROM snippets s JOIN region_metrics m ON m.mask_present AND m.file_stem = s.stem AND m.frame_number = s.frame_number AND m.evaluated_at BETWEEN s.received_at AND s.received_at + INTERVAL 45 DAY) GROUP BY 1""")
 def streamed_mask_join(spark, folder):
-    """Snippets joined with the masks of their frame, both as streams with watermarks."""
+    """Snippets joined with the masks of their frame that come within 45 days after them, both as streams; what is older leaves the state."""
     utc = lambda c: F.to_timestamp(F.col(c).cast("string"))
-    s = file_stream(spark, folder, "snippets").select("snippet_id", "stem", "frame_number", utc("received_at").alias("at")).withWatermark("at", "3650 days")
-    m = file_stream(spark, folder, "region_metrics").where("mask_present").select("detector", F.col("file_stem").alias("m_stem"), F.col("frame_number").alias("m_frame"), "ann_idx", utc("evaluated_at").alias("m_at")).withWatermark("m_at", "3650 days")
-    near = (F.col("stem") == F.col("m_stem")) & (F.col("frame_number") == F.col("m_frame")) & F.expr("m_at between at - interval 3650 days and at + interval 3650 days")
+    s = file_stream(spark, folder, "snippets").select("snippet_id", "stem", "frame_number", utc("received_at").alias("at")).withWatermark("at", "2 days")
+    m = file_stream(spark, folder, "region_metrics").where("mask_present").select("detector", F.col("file_stem").alias("m_stem"), F.col("frame_number").alias("m_frame"), "ann_idx", utc("evaluated_at").alias("m_at")).withWatermark("m_at", "2 days")
+    near = (F.col("stem") == F.col("m_stem")) & (F.col("frame_number") == F.col("m_frame")) & F.expr("m_at between at and at + interval 45 days")
     got = run_available(s.join(m, near).select("detector", "snippet_id", "m_stem", "m_frame", "ann_idx"), "append").distinct()
     return got.groupBy("detector").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("snippet_id").alias("n_snippets"))

@@ -13,8 +13,6 @@ from wavemill.plans.grids import _GRID, N, grid
 from wavemill.plans.registry import Registry
 from wavemill.plans.streams import recording_offsets
 from wavemill.sources.tables import table
-from wavemill.streaming import operators as stream_ops
-from wavemill.streaming.runner import file_stream, run_available
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -115,10 +113,3 @@ def tiled_rows(spark, folder):
     pad = g.select("frame").distinct().select("frame", F.explode(F.sequence(F.lit(N), F.lit(-(-N // 10) * 10 - 1))).alias("row"), F.lit(0.0).alias("value"))
     every = g.select("frame", "row", "value").unionByName(pad)
     return every.groupBy("frame", F.expr("row div 10").alias("tile"), (F.col("row") % 10).alias("tile_row")).agg(F.sum("value").alias("total"))
-
-
-@query()
-def streamed_dead_zone(spark, folder):
-    """Each user's value as a tracker sees it, which moves only when it is more than 50 away; state per user."""
-    e = file_stream(spark, folder, "events").where("value is not null").select("user_id", "event_id", F.to_timestamp(F.col("ts").cast("string")).alias("ts"), "value")
-    return run_available(stream_ops.dead_zone(e, "user_id", "event_id", "ts", "value", 50.0), "append")

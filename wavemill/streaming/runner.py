@@ -19,8 +19,8 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return spark.readStream.schema(spark.read.parquet(f"{folder}/{name}.parquet").schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{name}.parque[t]")
 
 
-def run_available(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """The result of a stream over all that is available. ``keys``: in update mode, what the last update of counts."""
+def run_available(stream: DataFrame, mode: str, keys: list[str] | None = None, progress: list | None = None) -> DataFrame:
+    """The result of a stream over all that is available. ``keys``: in update mode, what the last update of counts. ``progress`` is filled with what Spark tells of each micro-batch."""
     spark = stream.sparkSession
     base = scratch_path(spark, "stream")
     out = f"{base}/out"
@@ -31,6 +31,8 @@ def run_available(stream: DataFrame, mode: str, keys: list[str] | None = None) -
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(store).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
+        if progress is not None:
+            progress += q.recentProgress
     finally:
         q.stop()
     got = spark.read.schema(f"{_ddl(stream)}, _batch long").option("recursiveFileLookup", "true").parquet(out)
