@@ -28,6 +28,56 @@ def test_scalars(spark):
     assert one(spark, S.short_path(F.lit("replayer, visualizer"))) == "rep-vis"
 
 
+def test_fingerprints_and_paths_that_look_alike(spark):
+    assert [one(spark, S.fnv1a(F.lit(x))) for x in (b"", b"a", b"foobar", None)] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8", None]
+    assert one(spark, S.fnv1a(F.lit(b"foobar" * 9), 6)) == "85944171f73967e8"
+    with pytest.raises(Exception, match="begin alike"):
+        one(spark, S.short_path(F.lit("replayer, reporter")))
+    assert one(spark, S.pcm16(F.lit(-1.5))) == -32767
+
+
+def test_channels_and_previews(spark):
+    df = spark.createDataFrame([(i, i % 2, i % 5 == 0) for i in range(20)], "t int, ch int, part boolean")
+    assert sampling.channel(df, "ch", -1).count() == 20 and sampling.channel(df, "ch", 1, "part").count() == 8
+    assert sorted(r.t for r in sampling.every_nth(df, ["ch"], ["t"], 3, 2).collect()) == [4, 5, 10, 11]
+
+
+def test_radar_and_resampling_against_numpy(spark):
+    rng = np.random.default_rng(7)
+    z = rng.normal(size=(3, 16)) + 1j * rng.normal(size=(3, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in z[i].real], [float(v) for v in z[i].imag]) for i in range(3)], "i int, re array<double>, im array<double>")
+    chirp = [1, 1j, -1, 0.5]
+    w = np.array(chirp) * np.hamming(4)
+    w /= np.linalg.norm(w)
+    for r in X.pulse_compression(df, ["i"], "re", "im", chirp).collect():
+        assert np.allclose(np.array(r.re) + 1j * np.array(r.im), [sum(z[r.i][(m + k) % 16] * np.conj(w[k]) for k in range(4)) for m in range(16)])
+    for r in X.doppler(df, ["i"], "re", "im").collect():
+        assert np.allclose(np.array(r.re) + 1j * np.array(r.im), np.fft.fft(z[r.i] * np.hamming(16)))
+    long = df.select("i", F.posexplode("re").alias("t", "v"))
+    h = X.lowpass(13, 0.15)
+    got = {(r.i, r.m): r.value for r in X.polyphase(long, ["i"], "t", "v", h, 2, 3).collect()}
+    for i in range(3):
+        up = np.zeros(31)
+        up[::2] = z[i].real
+        y = np.convolve(up, np.array(h) * 2, "same")[::3]
+        assert np.allclose([got[(i, m)] for m in range(len(y))], y)
+
+
+def test_slices_are_cut_to_the_samples(spark):
+    samples = spark.range(10).selectExpr("'f' as f", "id as t", "cast(id as double) as x")
+    slices = spark.createDataFrame([("f", -3, 2, 0), ("f", 8, 40, 1), ("f", 4, 4, 2), ("g", 0, 5, 3)], "f string, a long, b long, n int")
+    got = sorted((r.n, r.t, r.offset) for r in X.time_slices(samples, slices, ["f"], "t", "a", "b", 4).collect())
+    assert got == [(0, 0, 0), (0, 1, 1), (1, 8, 0), (1, 9, 1)]
+
+
+def test_small_components_and_their_map(spark):
+    cells = [(0, 0), (0, 1), (2, 2), (4, 0), (4, 1), (5, 1)]
+    m = spark.createDataFrame([(0, r, c) for r, c in cells], "frame long, row int, col int")
+    assert sorted((r.row0, r.pixel_count, r.component) for r in G.label_components(m, 2).collect()) == [(0, 2, 1), (4, 3, 2)]
+    assert sorted((r.row, r.col, r.component) for r in G.label_map(m).collect()) == [(0, 0, 1), (0, 1, 1), (2, 2, 2), (4, 0, 3), (4, 1, 3), (5, 1, 3)]
+    assert sorted((r.row, r.component) for r in G.label_map(m, (1, 5)).collect()) == [(2, 1), (4, 2), (4, 2)]
+
+
 def test_stride_keeps_multiples_and_checks(spark):
     df = spark.range(10).selectExpr("'c' as ch", "id as t")
     assert sorted(r.t for r in sampling.stride(df, ["ch"], ["t"], 3).collect()) == [2, 5, 8]

@@ -22,6 +22,16 @@ def test_frames_of_every_format(spark, tmp_path):
         sigmf.scalar_type("rf32_le")
 
 
+def test_samples_written_and_read_by_uri(spark, tmp_path):
+    sigmf.register(spark)
+    df = spark.createDataFrame([(s, i, float(i), -float(i) if i else None) for s in ("a", "b") for i in range(10)] + [(None, 1, 1.0, 1.0)], "stem string, at int, i double, q double")
+    at = f"file://{tmp_path}/rec"
+    assert sorted(map(tuple, sigmf.write_samples(df, at).collect())) == [("a", 10), ("b", 10)]
+    got = spark.read.format("iq_frames").option("frame_samples", 4).option("frames_per_partition", 2).load(at).collect()
+    assert sorted((r.path[-12], r.frame_number, r.n_read, r.i[1]) for r in got) == [(s, k, n, x) for s in "ab" for k, n, x in ((0, 4, 1.0), (1, 4, 5.0), (2, 2, 9.0))]
+    assert sigmf.write_samples(df.limit(0), at).count() == 0
+
+
 def test_headers_round_trip(spark, tmp_path):
     ann = "array<struct<`core:sample_start`: long, `core:sample_count`: long, `core:freq_lower_edge`: double, `core:freq_upper_edge`: double, `core:label`: string>>"
     df = spark.createDataFrame([("a_attenuation_dB_20", 1e6, "cf32_le", 2.4e9, [(50, 5, 1.0, 2.0, "X"), (10, 0, -1.0, 2.0, None)]), ("b", 2e6, "ci16_le", None, [])], f"stem string, sample_rate double, datatype string, center_freq_hz double, anns {ann}")

@@ -70,7 +70,14 @@ def doubles(c: Column) -> Column:
 
 
 def short_path(c: Column, separator: str = ",") -> Column:
-    """The first three letters of each operator's name on a path."""
+    """The first three letters of each operator's name on a path; an error where two different names of a path would look the same."""
+    names = F.array_distinct(F.transform(F.split(c, separator), lambda x: F.trim(x)))
+    alike = F.size(F.array_distinct(F.transform(names, lambda x: F.substring(x, 1, 3)))) < F.size(names)
+    short = F.when(alike, F.raise_error(F.concat(F.lit("names on one path begin alike: "), c)).cast("string"))
+    return short.otherwise(_short(c, separator))
+
+
+def _short(c: Column, separator: str) -> Column:
     return F.concat_ws("-", F.transform(F.split(c, separator), lambda x: F.substring(F.trim(x), 1, 3)))
 
 
@@ -93,3 +100,30 @@ def bucket_label(c: Column, edges: list[float], labels: list[str], missing: str
 
 BANDWIDTH_EDGES = ([2e6, 10e6, 25e6, 60e6], ["<2MHz", "2-10MHz", "10-25MHz", "25-60MHz", ">=60MHz"])
 LENGTH_EDGES = ([10_000.0, 100_000.0, 1_000_000.0, 5_000_000.0], ["<10k", "10k-100k", "100k-1M", "1M-5M", ">=5M"])
+
+
+def fnv1a(payload: Column, most: int | None = None) -> Column:
+    """64-bit FNV-1a of the (first ``most``) bytes, as sixteen hexadecimal digits; null of a null.
+
+    The hash is kept as two halves, as products of 64 bits would overflow. The
+    prime is 2**40 + 435.
+    """
+    h = F.hex(payload if most is None else F.substring(payload, 1, most))
+    places = F.when(F.length(h) > 0, F.sequence(F.lit(1), F.length(h), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    low32 = 0xFFFFFFFF
+
+    def step(acc: Column, at: Column) -> Column:
+        low = acc["low"].bitwiseXOR(F.conv(F.substring(h, at, F.lit(2)), 16, 10).cast("long"))
+        product = low * 435
+        high = (acc["high"] * 435 + F.shiftright(product, 32) + F.shiftleft(low, 8)).bitwiseAND(low32)
+        return F.struct(high.alias("high"), product.bitwiseAND(low32).alias("low"))
+
+    # Fixed value: the offset basis.
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low"))
+    half = lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")
+    return F.when(h.isNotNull(), F.aggregate(places, start, step, lambda a: F.concat(half(a["high"]), half(a["low"]))))
+
+
+def pcm16(c: Column) -> Column:
+    """[-1, 1] as 16-bit samples, cut off towards 0; values beyond are at the limit."""
+    return (clamp(c, -1.0, 1.0) * 32767).cast("int")

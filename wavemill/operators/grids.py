@@ -165,13 +165,12 @@ def runs(mask: DataFrame, along: str = "col") -> DataFrame:
     return g.groupBy("frame", line, "_g").agg(F.min(along).alias("start"), F.max(along).alias("stop")).select("frame", F.col(line).alias("line"), "start", "stop")
 
 
-def label_components(mask: DataFrame) -> DataFrame:
-    """4-connected components of set cells: ``frame, component, row0, row1, col0, col1`` (inclusive), ``pixel_count``.
+def _labelled_runs(mask: DataFrame) -> DataFrame:
+    """``frame, line, start, stop, label``: runs of set cells, each with the least run of its component.
 
     Runs of neighbouring rows that share a column are joined; the least run of
     each component is found by passing minima along the joints until nothing
     changes. All frames go on at once; a diagonal alone doesn't connect.
-    ``component`` numbers a frame's components by their first cell.
     """
     from wavemill.session import written
 
@@ -190,7 +189,23 @@ def label_components(mask: DataFrame) -> DataFrame:
         labels = new.select("frame", "id", F.col("new").alias("label"))
         if done:
             break
-    boxes = r.join(labels, ["frame", "id"]).groupBy("frame", "label").agg(
+    return r.join(labels, ["frame", "id"]).drop("id")
+
+
+def label_components(mask: DataFrame, min_pixels: int = 1) -> DataFrame:
+    """4-connected components of set cells: ``frame, component, row0, row1, col0, col1`` (inclusive), ``pixel_count``; those of fewer than ``min_pixels`` are left out.
+
+    ``component`` numbers a frame's components by their first cell.
+    """
+    boxes = _labelled_runs(mask).groupBy("frame", "label").agg(
         F.min("line").alias("row0"), F.max("line").alias("row1"), F.min("start").alias("col0"), F.max("stop").alias("col1"), F.sum(F.col("stop") - F.col("start") + 1).alias("pixel_count")
     )
+    boxes = boxes.where(F.col("pixel_count") >= min_pixels)
     return boxes.withColumn("component", F.row_number().over(Window.partitionBy("frame").orderBy("label"))).drop("label")
+
+
+def label_map(mask: DataFrame, rows: tuple[int, int] | None = None) -> DataFrame:
+    """The component of every set cell: ``frame, row, col, component``, numbered as by :func:`label_components`. Only rows from the first to before the second of ``rows`` count, if given."""
+    m = mask.where((F.col("row") >= rows[0]) & (F.col("row") < rows[1])) if rows else mask
+    r = _labelled_runs(m).withColumn("component", F.dense_rank().over(Window.partitionBy("frame").orderBy("label")))
+    return r.select("frame", F.col("line").alias("row"), F.explode(F.sequence("start", "stop")).alias("col"), "component")

@@ -50,3 +50,14 @@ def fill_missing(df: DataFrame, map_column: str, defaults: dict[str, str]) -> Da
     own = F.coalesce(F.col(map_column), F.create_map().cast("map<string,string>"))
     lacking = F.map_filter(base, lambda k, _: ~F.map_contains_key(own, k))
     return df.withColumn(map_column, F.map_concat(lacking, own))
+
+
+def channel(df: DataFrame, column: str, wanted: int, partial: str | None = None) -> DataFrame:
+    """Rows of one channel, of all for -1; ``partial`` names a flag whose rows are skipped."""
+    out = df if wanted == -1 else df.where(F.col(column) == wanted)
+    return out if partial is None else out.where(~F.coalesce(F.col(partial), F.lit(False)))
+
+
+def every_nth(df: DataFrame, keys: list[str], order: list[str], every: int, most: int) -> DataFrame:
+    """Of each channel's frames ``every``, ``2 * every``, ... the first ``most``."""
+    return stride(df, keys, order, every).where(F.col("row_no") <= every * most)

@@ -12,6 +12,7 @@ from wavemill.plans.detections import _REG, regions
 from wavemill.plans.grids import _GRID, N, grid
 from wavemill.plans.registry import Registry
 from wavemill.plans.streams import recording_offsets
+from wavemill.session import small_side
 from wavemill.sources.tables import table
 
 query = Registry()
@@ -72,7 +73,7 @@ def strong_rescue(spark, folder):
     g = grid(spark, folder)
     f = M.quantiles(g, ["row"], "value", ["frame", "col"], {"f": 0.5})
     w = Window.partitionBy("frame", "row").orderBy("col").rowsBetween(-4, 4)
-    s = g.join(F.broadcast(f), "row").withColumn("strong", F.col("value") > F.col("f") + 30)  # one row per grid row
+    s = g.join(small_side(f), "row").withColumn("strong", F.col("value") > F.col("f") + 30)
     s = s.withColumn("near", F.sum(F.col("strong").cast("int")).over(w))
     return s.groupBy("frame", "row").agg(F.count_if(F.col("strong") & (F.col("near") >= 2)).alias("n_rescued")).where("n_rescued > 0")
 

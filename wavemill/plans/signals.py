@@ -104,12 +104,6 @@ def snr_per_line(spark, folder):
     return peak.join(noise, ["frame", "row"]).select("frame", "row", F.round(S.to_db(F.col("peak")) - S.to_db(F.col("noise")), 6).alias("snr_db"))
 
 
-@query()
-def coherent_detections(spark, folder):
-    """The coherent-power chain over each frame."""
-    return X.coherent_detector(grid(spark, folder), N, N, sigma=2.0)
-
-
 @query("""SELECT event_id, CAST(event_id % 65536 AS INT) AS packet_id, 2 AS n, round((CASE WHEN user_id % 65536 >= 32768 THEN user_id % 65536 - 65536 ELSE user_id % 65536 END) / 32767.0, 9) AS i0, round(-(CAST(round(coalesce(value, 0)) AS BIGINT) % 30000) / 32767.0, 9) AS q0 FROM events""")
 def packet_samples(spark, folder):
     """Events packed into binary packets and unpacked again."""

@@ -106,9 +106,10 @@ def recording_offsets(spark, folder):
 
 @query("""WITH c AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, event_id, sum(CASE WHEN before IS DISTINCT FROM event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM c""")
-def retune_segments(spark, folder):
+def retune_segments(spark, folder, rows=None):
     """A new segment whenever the setting changes: state is seeded anew in each."""
-    e = ordered.previous(_events(spark, folder).select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"], {"event_type": "before"})
+    rows = _events(spark, folder) if rows is None else rows
+    e = ordered.previous(rows.select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"], {"event_type": "before"})
     e = ordered.running(e, ["user_id"], ["ts", "event_id"], "segment", F.when(F.col("before").eqNullSafe(F.col("event_type")), 0).otherwise(1))
     return e.select("user_id", "event_id", F.col("segment").cast("long").alias("segment"))
 

@@ -7,12 +7,12 @@ task holds more than a batch of frames.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -45,7 +45,8 @@ def annotations(headers: DataFrame) -> DataFrame:
     a = headers.select("stem", F.explode("header.annotations").alias("a"))
     from pyspark.sql import Window
 
-    w = Window.partitionBy("stem").orderBy(F.col("a.`core:sample_start`"), F.col("a.`core:freq_lower_edge`"), F.col("a.`core:label`"))
+    order = ("core:sample_start", "core:freq_lower_edge", "core:label", "core:freq_upper_edge", "core:sample_count", "kind")
+    w = Window.partitionBy("stem").orderBy(*[F.col(f"a.`{c}`") for c in order])  # a header's annotations
     return a.select(
         "stem", (F.row_number().over(w) - 1).alias("ann_idx"), F.col("a.`core:sample_start`").alias("sample_start"), F.col("a.`core:sample_count`").alias("sample_count"),
         F.col("a.`core:freq_lower_edge`").alias("freq_lower_hz"), F.col("a.`core:freq_upper_edge`").alias("freq_upper_hz"), F.coalesce("a.`core:label`", F.lit("UNLABELED")).alias("label"),
@@ -72,6 +73,63 @@ def scalar_type(name: str) -> tuple[np.dtype, float, float]:
     return t, float(1 << (bits - 1)) if kind == "u" else 0.0, 1.0 if kind == "f" else float((1 << (bits - 1)) - 1)
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, local without a scheme, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+
+
+def write_files(df: DataFrame, folder: str, ending: str) -> DataFrame:
+    """Each row of ``stem, value`` (text or bytes) as the file ``folder/stem + ending``: ``stem, n_bytes``. Files are written by the tasks, whole and under their last name, so a task that runs again replaces its own."""
+    kind = df.schema["stem"].dataType.simpleString()
+    arrow = pa.schema([("stem", pa.string()), ("n_bytes", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, path = file_system(folder)
+        where.create_dir(path)
+        for b in batches:
+            names, sizes = b.column(0).to_pylist(), []
+            for stem, value in zip(names, b.column(1), strict=True):
+                v = value.as_py()
+                v = v.encode() if isinstance(v, str) else v
+                with where.open_output_stream(f"{path}/{stem}{ending}") as out:
+                    out.write(v)
+                sizes.append(len(v))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], schema=arrow)
+
+    return df.select("stem", "value").where("stem is not null and value is not null").mapInArrow(run, f"stem {kind}, n_bytes long")
+
+
+def write_samples(df: DataFrame, folder: str) -> DataFrame:
+    """Samples in long form (``stem, at, i, q``) as cf32 recordings ``folder/stem.sigmf-data``: ``stem, n_samples``. A recording is written by one task, as a stream in order of ``at``."""
+    arrow = pa.schema([("stem", pa.string()), ("n_samples", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, path = file_system(folder)
+        where.create_dir(path)
+        now, out, n, done = None, None, 0, []
+        for b in batches:
+            names = np.array(b.column(0).to_pylist(), object)
+            x = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], 1).astype("<f4")
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)] if len(names) else []
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if names[a] != now:
+                    if out is not None:
+                        out.close()
+                        done.append((now, n))
+                    now, n = names[a], 0
+                    out = where.open_output_stream(f"{path}/{now}.sigmf-data")
+                out.write(x[a:z].tobytes())
+                n += z - a
+        if out is not None:
+            out.close()
+            done.append((now, n))
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], schema=arrow)
+
+    rows = df.where("stem is not null and at is not null").repartition("stem").sortWithinPartitions("stem", "at")
+    rows = rows.select("stem", *[F.coalesce(c, F.lit(0.0)).cast("double").alias(c) for c in ("i", "q")])
+    return rows.mapInArrow(run, "stem string, n_samples long")
+
+
 @dataclass
 class Frames(InputPartition):
     path: str
@@ -88,19 +146,26 @@ class FrameReader(DataSourceReader):
         self.schema = pa.schema([("path", pa.string()), ("frame_number", pa.int64()), ("sample_start", pa.int64()), ("n_read", pa.int32()), ("i", pa.list_(pa.float32())), ("q", pa.list_(pa.float32()))])
 
     def partitions(self) -> list[Frames]:
-        files = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(self.path, f) for f in os.listdir(self.path) if f.endswith(".sigmf-data"))
+        where, path = file_system(self.path)
+        info = where.get_file_info(path)
+        files = [info] if info.is_file else sorted((f for f in where.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".sigmf-data")), key=lambda f: f.path)
         width = 2 * scalar_type(self.kind)[0].itemsize
         out = []
         for f in files:
-            n = -(-(os.path.getsize(f) // width) // self.size)
-            out += [Frames(f, k, min(k + self.step, n)) for k in range(0, n, self.step)]
+            n = -(-(f.size // width) // self.size)
+            out += [Frames(f.path, k, min(k + self.step, n)) for k in range(0, n, self.step)]
         return out or [Frames("", 0, 0)]
 
     def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
+        if partition.first == partition.last:
+            return
         t, middle, scale = scalar_type(self.kind)
+        frame = self.size * 2 * t.itemsize
+        source = file_system(self.path)[0].open_input_file(partition.path)
         for first in range(partition.first, partition.last, 16):
             count = min(16, partition.last - first)
-            raw = np.fromfile(partition.path, t, count * self.size * 2, offset=first * self.size * 2 * t.itemsize)
+            data = source.read_at(min(count * frame, source.size() - first * frame), first * frame)
+            raw = np.frombuffer(data[: len(data) // t.itemsize * t.itemsize], t)
             have = len(raw) // 2
             x = np.zeros(count * self.size * 2, np.float32)
             x[: 2 * have] = (raw[: 2 * have].astype(np.float64) - middle) / scale
