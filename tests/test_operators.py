@@ -136,7 +136,7 @@ def grid(spark, cells):
 
 def test_erode_then_dilate_removes_a_dot_and_components_need_sides(spark):
     g = grid(spark, {(r, c): (r, c) == (2, 2) for r in range(5) for c in range(5)})
-    assert G.opened(g, 3, 3).agg(F.max("value")).first()[0] == 0
+    assert G.morphology(g, G.opening(3, 3)).agg(F.max("value")).first()[0] == 0
     cells = [(0, 0), (1, 0), (1, 1), (2, 2), (4, 4), (4, 3), (3, 4)]
     m = spark.createDataFrame([(0, r, c) for r, c in cells], "frame long, row int, col int")
     got = sorted((r.row0, r.row1, r.col0, r.col1, r.pixel_count) for r in G.label_components(m).collect())

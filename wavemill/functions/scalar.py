@@ -14,18 +14,10 @@ def abs2(re: Column, im: Column) -> Column:
     return re * re + im * im
 
 
-def power_db(re: Column, im: Column, floor: float = 1e-12) -> Column:
-    return F.log10(abs2(re, im) + F.lit(floor)) * 10
-
-
 def to_db(p: Column, floor: float = 1e-12) -> Column:
     return F.log10(p + F.lit(floor)) * 10
 
 
-def sigmoid(c: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
-
-
 def ceil_div(a: Column, b: Column | int) -> Column:
     b = F.lit(b) if isinstance(b, int) else b
     return F.ceil(a / b)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.operators.intervals import overlap_join
@@ -53,14 +53,21 @@ def suppress(boxes: DataFrame, keys: list[str], box: str, score: str, threshold:
     pairs = overlapping(grown, grown, keys, (box, score), height)
     better = (F.col("a_" + score) > F.col("b_" + score)) | ((F.col("a_" + score) == F.col("b_" + score)) & (F.col("a_" + box) < F.col("b_" + box)))
     edges = written(pairs.where(better & (iou("a_", "b_") >= threshold)).select(*keys, F.col("a_" + box).alias("x"), F.col("b_" + box).alias("y")), "edges")
-    state = rows.select(*keys, F.col(box).alias("y")).withColumn("kept", F.lit(None).cast("boolean"))
+    open_ = rows.select(*keys, F.col(box).alias("y"))
+    kept = []
     while True:
-        told = edges.join(state.withColumnRenamed("y", "x"), [*keys, "x"]).groupBy(*keys, "y").agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.max(F.col("kept").isNull()).alias("open"))
-        new = state.join(told, [*keys, "y"], "left").select(*keys, "y", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(~F.coalesce("open", F.lit(False)), True).alias("kept"))
-        state = written(new, "state")
-        if state.where("kept is null").isEmpty():
+        # Boxes that no undecided one outdoes are kept; those they outdo go. Only the others stay for the next round.
+        free = written(open_.join(edges, [*keys, "y"], "left_anti"), "kept")
+        kept.append(free)
+        gone = edges.join(free.withColumnRenamed("y", "x"), [*keys, "x"], "left_semi").select(*keys, "y").distinct()
+        open_ = written(open_.join(free, [*keys, "y"], "left_anti").join(gone, [*keys, "y"], "left_anti"), "open")
+        if open_.isEmpty():
             break
-    return boxes.join(state.where("kept").select(*keys, F.col("y").alias(box)), [*keys, box], "left_semi")
+        edges = written(edges.join(open_, [*keys, "y"], "left_semi").join(open_.withColumnRenamed("y", "x"), [*keys, "x"], "left_semi"), "edges")
+    every = kept[0]
+    for more in kept[1:]:
+        every = every.unionByName(more)
+    return boxes.join(every.withColumnRenamed("y", box), [*keys, box], "left_semi")
 
 
 def merge_close(boxes: DataFrame, keys: list[str], row_gap: int, col_gap: int, count: str, height: int = 64) -> DataFrame:
@@ -75,17 +82,19 @@ def merge_close(boxes: DataFrame, keys: list[str], row_gap: int, col_gap: int, c
         if edges.isEmpty():
             return now.drop("id")
         both = edges.unionByName(edges.select(*keys, F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy(*keys, "x").agg(F.min("y").alias("m"))
-        target = now.join(least.withColumnRenamed("x", "id"), [*keys, "id"], "left").withColumn("to", F.least("id", F.coalesce("m", "id")))
+        least = both.groupBy(*keys, F.col("x").alias("id")).agg(F.min("y").alias("m"))
+        to = now.join(least, [*keys, "id"], "left").select(*keys, "id", F.least("id", F.coalesce("m", "id")).alias("to"))
+        to = written(to, "targets")
+        while True:  # targets of targets, so that a chain of boxes is one after a few turns
+            further = to.select(*keys, F.col("id").alias("to"), F.col("to").alias("far"))
+            jumped = written(to.join(further, [*keys, "to"]), "targets")
+            to = jumped.select(*keys, "id", F.col("far").alias("to"))
+            if jumped.where("far <> to").isEmpty():
+                break
+        target = now.join(to, [*keys, "id"])
         now = written(target.groupBy(*keys, "to").agg(F.min("row0").alias("row0"), F.max("row1").alias("row1"), F.min("col0").alias("col0"), F.max("col1").alias("col1"), F.sum(count).alias(count)).withColumnRenamed("to", "id"), "boxes")
 
 
-def top_then_threshold(df: DataFrame, keys: list[str], score: Column, tie: str, k: int, least: float) -> DataFrame:
-    """The k highest scores of each key first, the threshold on them after."""
-    w = Window.partitionBy(*keys).orderBy(score.desc(), F.col(tie))
-    return df.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") >= least))
-
-
 def physical(df: DataFrame, rows: int, cols: int, samples: Column, center: Column, rate: Column) -> DataFrame:
     """Half-open pixel boxes as samples and Hz: ``start_sample, stop_sample, low_hz, high_hz``."""
     return df.withColumns({

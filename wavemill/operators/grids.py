@@ -38,18 +38,30 @@ def erode(grid: DataFrame, along: str, radius: int, value: str = "value") -> Dat
     return grid.withColumn(value, F.min(value).over(_line(along, radius)))
 
 
-def opened(grid: DataFrame, rows: int, cols: int, value: str = "value") -> DataFrame:
-    """Erode, then dilate, by a box of odd size."""
-    for step in (erode, dilate):
-        grid = step(step(grid, "row", rows // 2, value), "col", cols // 2, value)
+def morphology(grid: DataFrame, steps: list[tuple[str, int, int]], value: str = "value") -> DataFrame:
+    """Steps of ``("dilate" or "erode", row radius, column radius)`` one after the other. Neighbouring steps of a kind are one with the radii added, at the edges too."""
+    merged: list[list] = []
+    for kind, r, c in steps:
+        if merged and merged[-1][0] == kind:
+            merged[-1][1] += r
+            merged[-1][2] += c
+        else:
+            merged.append([kind, r, c])
+    for kind, r, c in merged:
+        step = dilate if kind == "dilate" else erode
+        grid = step(grid, "row", r, value) if r else grid
+        grid = step(grid, "col", c, value) if c else grid
     return grid
 
 
-def closed(grid: DataFrame, rows: int, cols: int, value: str = "value") -> DataFrame:
+def opening(rows: int, cols: int) -> list[tuple[str, int, int]]:
+    """Erode, then dilate, by a box of odd size."""
+    return [("erode", rows // 2, cols // 2), ("dilate", rows // 2, cols // 2)]
+
+
+def closing(rows: int, cols: int) -> list[tuple[str, int, int]]:
     """Dilate, then erode, by a box of odd size."""
-    for step in (dilate, erode):
-        grid = step(step(grid, "row", rows // 2, value), "col", cols // 2, value)
-    return grid
+    return opening(rows, cols)[::-1]
 
 
 def replicated(grid: DataFrame, along: str, radius: int, size: int, value: str, weights: list[float] | None = None) -> Column:
@@ -141,20 +153,21 @@ def rings(grid: DataFrame, rows: int, cols: int, value: str = "value") -> DataFr
     return grid.groupBy("frame", ring.alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
 
 
-def cfar(grid: DataFrame, guard: tuple[int, int], train: tuple[int, int], rate: float, value: str = "value") -> DataFrame:
-    """Cell-averaging detection: ``hit`` where a cell exceeds ``n * (rate ** (-1 / n) - 1)`` times the mean of its training cells, the box ``train`` without the box ``guard``."""
+def cfar(grid: DataFrame, rows: int, cols: int, guard: tuple[int, int], train: tuple[int, int], rate: float, value: str = "value") -> DataFrame:
+    """Cell-averaging detection: ``hit`` where a cell exceeds ``n * (rate ** (-1 / n) - 1)`` times the mean of its training cells, the box ``train`` without the box ``guard``. Every cell of the grid must be there."""
+
+    def total(g: DataFrame, r: int, c: int, name: str) -> DataFrame:
+        return g.withColumn("_x", F.sum(value).over(_line("col", c))).withColumn(name, F.sum("_x").over(_line("row", r))).drop("_x")
 
-    def box(r: int, c: int, name: str, g: DataFrame) -> DataFrame:
-        for what, start in (("s", F.col(value)), ("n", F.lit(1.0))):
-            g = g.withColumn("_x", F.sum(start).over(_line("col", c)) if what == "s" else F.count(start).over(_line("col", c)).cast("double"))
-            g = g.withColumn(f"_{what}{name}", F.sum("_x").over(_line("row", r))).drop("_x")
-        return g
+    def cells(r: int, c: int) -> Column:
+        """How many cells of the box are on the grid."""
+        side = lambda i, radius, size: F.least(F.col(i) + radius, F.lit(size - 1)) - F.greatest(F.col(i) - radius, F.lit(0)) + 1
+        return side("row", r, rows) * side("col", c, cols)
 
-    g = box(*train, "t", box(*guard, "g", grid))
-    n = F.col("_nt") - F.col("_ng")
-    background = (F.col("_st") - F.col("_sg")) / n
+    g = total(total(grid, *train, "_st"), *guard, "_sg").withColumn("_n", (cells(*train) - cells(*guard)).cast("double"))
+    n = F.col("_n")
     alpha = n * (F.pow(F.lit(rate), F.lit(-1.0) / n) - 1)
-    return g.withColumn("hit", (n > 0) & (F.col(value) > alpha * background)).drop("_st", "_sg", "_nt", "_ng")
+    return g.withColumn("hit", (n > 0) & (F.col(value) > alpha * ((F.col("_st") - F.col("_sg")) / n))).drop("_st", "_sg", "_n")
 
 
 def runs(mask: DataFrame, along: str = "col") -> DataFrame:

@@ -155,6 +155,25 @@ def phase_steps(df: DataFrame, keys: list[str], at: str, re: str, im: str) -> Da
     return df.withColumn("phase", F.atan2(F.col(im) * pr - F.col(re) * pi, F.col(re) * pr + F.col(im) * pi))
 
 
+def back_project(pulses: DataFrame, keys: list[str], pulse: str, re: str, im: str, pixels: list[tuple[float, float]], spacing: float, bins_per_unit: float, wavelength: float) -> DataFrame:
+    """Image formation: ``keys, pixel, re, im``, for each pixel the sum over all pulses of the echo at its range, turned back by its phase.
+
+    Pulse p is sent from ``(p * spacing, 0)``; its samples are echoes by range,
+    ``bins_per_unit`` of them a unit, read between two neighbours; ranges beyond
+    give nothing. Pixels are a parameter, laid out beside each pulse; sums are
+    formed in part before the shuffle.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("pixel"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for i, (x, y) in enumerate(pixels)])).alias("p")
+    far = F.hypot(F.col("p.x") - F.col(pulse) * spacing, F.col("p.y"))
+    rows = pulses.select(*keys, re, im, pulse, each).select(*keys, re, im, F.col("p.pixel").alias("pixel"), far.alias("_r"), (far * bins_per_unit).alias("_b"))
+    low = F.floor("_b").cast("int")
+    part = F.col("_b") - low
+    at = lambda c: F.get(c, low) * (1 - part) + F.get(c, low + 1) * part
+    turn = F.lit(4 * math.pi / wavelength) * F.col("_r")
+    rows = rows.where(low + 1 < F.size(re)).select(*keys, "pixel", at(re).alias("_re"), at(im).alias("_im"), turn.alias("_t"))
+    return rows.groupBy(*keys, "pixel").agg(F.sum(F.col("_re") * F.cos("_t") - F.col("_im") * F.sin("_t")).alias("re"), F.sum(F.col("_re") * F.sin("_t") + F.col("_im") * F.cos("_t")).alias("im"))
+
+
 def cartesian(distance: Column, azimuth: Column, elevation: Column) -> tuple[Column, Column, Column]:
     """Range and angles in degrees as x, y, z."""
     a, e = F.radians(azimuth), F.radians(elevation)
@@ -211,7 +230,7 @@ def coherent_detector(
     else:
         b = b.withColumn("strong", F.lit(False))
     m = G.majority3(b, rows, cols, "set", "set").withColumn("hit", F.col("set").cast("int"))
-    m = G.closed(G.opened(m, *opened, "hit"), *closed, "hit").withColumn("hit", F.col("hit") == 1)
+    m = G.morphology(m, [*G.opening(*opened), *G.closing(*closed)], "hit").withColumn("hit", F.col("hit") == 1)
     if persistence is not None:
         m = G.persistent(m, "row", *persistence, rows, "hit", "hit")
     return m.select("frame", "row", "col", "score", (F.col("hit") | F.col("strong")).alias("hit"))

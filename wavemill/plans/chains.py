@@ -23,7 +23,7 @@ from wavemill.plans.registry import Registry
 from wavemill.plans.signals import _H, _IQ, iq
 from wavemill.plans.streams import retune_segments
 from wavemill.session import scratch_path, within, written
-from wavemill.sources import sigmf
+from wavemill.sources import sigmf, traces
 from wavemill.sources.tables import table
 
 query = Registry()
@@ -335,3 +335,25 @@ def series_volumes(spark, folder):
     v = S.clamp(F.col("l_quantity") * 37.5 - 1024, -32768.0, 32767.0).cast("int")
     s = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_quantity", v.alias("v")))).alias("s"))  # the lines of an order
     return s.select("l_orderkey", F.size("s").cast("long").alias("n_slices"), F.array_join(F.transform("s", lambda x: x["v"].cast("string")), ",").alias("voxels"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE ts IS NOT NULL),
+r AS (SELECT user_id, event_id, k, ms AS last, TRUE AS kept FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.ms - r.last > 86400000 THEN e.ms ELSE r.last END, e.ms - r.last > 86400000 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id FROM r WHERE kept""")
+def kept_stamps(spark, folder):
+    """Events of each user without those within a day of the last one kept."""
+    e = table(spark, folder, "events").where("ts is not null").select("user_id", "event_id", "ts", F.unix_millis(F.to_timestamp(F.col("ts").cast("string"))).alias("ms"))
+    return traces.drop_repeats(e, ["user_id"], ["ts", "event_id"], "ms", 86_400_000).select("user_id", "event_id")
+
+
+_PIXELS = [(4.0 * i, 3.0 + 4.0 * j) for i in range(8) for j in range(6)]
+
+
+@query(f"""WITH {_IQ}, p AS (SELECT * FROM (VALUES {", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(_PIXELS))}) p(pixel, px, py)), d AS (SELECT DISTINCT frame, "row" FROM x), r AS (SELECT frame, "row", pixel, sqrt(power(px - "row", 2) + py * py) AS far FROM d CROSS JOIN p),
+b AS (SELECT *, CAST(floor(far) AS INT) AS lo, far - floor(far) AS part FROM r WHERE floor(far) + 1 < {N}), e AS (SELECT b.frame, pixel, far, u.re * (1 - part) + v.re * part AS re, u.im * (1 - part) + v.im * part AS im FROM b JOIN x u ON u.frame = b.frame AND u."row" = b."row" AND u.col = lo JOIN x v ON v.frame = b.frame AND v."row" = b."row" AND v.col = lo + 1)
+SELECT frame, pixel, round(sum(re * cos(4 * pi() * far / 0.7) - im * sin(4 * pi() * far / 0.7)), 5) AS re, round(sum(re * sin(4 * pi() * far / 0.7) + im * cos(4 * pi() * far / 0.7)), 5) AS im FROM e GROUP BY 1, 2""")
+def back_projected(spark, folder):
+    """An image of 48 pixels from each frame's lines as pulses along a track."""
+    d = iq(spark, folder).groupBy("frame", "row").agg(F.sort_array(F.collect_list(F.struct("col", "re", "im"))).alias("s"))  # 32 samples a line
+    b = X.back_project(d.select("frame", "row", F.col("s.re").alias("re"), F.col("s.im").alias("im")), ["frame"], "row", "re", "im", _PIXELS, 1.0, 1.0, 0.7)
+    return b.select("frame", "pixel", F.round("re", 5).alias("re"), F.round("im", 5).alias("im"))

@@ -70,7 +70,7 @@ def dilated(spark, folder):
 
 @query(f"WITH {_GRID}, {_MASK}, " + _stack("m", ("max", "row", 1), ("max", "col", 2), ("min", "row", 1), ("min", "col", 2), ("min", "row", 1), ("min", "col", 1), ("max", "row", 1), ("max", "col", 1)))
 def closed_then_opened(spark, folder):
-    return G.opened(G.closed(mask(spark, folder), 3, 5), 3, 3).select("frame", "row", "col", "value")
+    return G.morphology(mask(spark, folder), [*G.closing(3, 5), *G.opening(3, 3)]).select("frame", "row", "col", "value")
 
 
 @query(f"""WITH {_GRID}, {_MASK} SELECT m.frame, m."row", m.col, m.value = 1 AND sum(n.value) >= 3 AS persistent FROM m CROSS JOIN range(-2, 3) o(d) JOIN m n ON n.frame = m.frame AND n."row" = m."row" AND n.col = least(greatest(m.col + o.d, 0), {N - 1}) GROUP BY m.frame, m."row", m.col, m.value""")
@@ -144,7 +144,7 @@ def _box(r: int, c: int, name: str) -> str:
 SELECT frame, "row", col, value > (nt - ng) * (power(1e-3, -1.0 / (nt - ng)) - 1) * ((st - sg) / (nt - ng)) AS hit FROM b""")
 def cfar_detections(spark, folder):
     """Cell-averaging detection: a 5 x 9 box without the 3 x 3 around the cell."""
-    return G.cfar(grid(spark, folder), (1, 1), (2, 4), 1e-3).select("frame", "row", "col", "hit")
+    return G.cfar(grid(spark, folder), N, N, (1, 1), (2, 4), 1e-3).select("frame", "row", "col", "hit")
 
 
 @query(f"""WITH RECURSIVE {_GRID}, t AS (SELECT frame, "row" AS r, col AS c FROM g WHERE value > 60), n AS (SELECT frame, r, c, r * {N} + c AS id FROM t),

@@ -35,7 +35,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``. Where it names none, a new local one is set if all work is on this machine; on a cluster that is an error."""
     at = spark.conf.get(CHECKPOINT_SETTING, None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-wavemill-", dir="/tmp")
         spark.conf.set(CHECKPOINT_SETTING, at)

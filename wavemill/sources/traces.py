@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +43,25 @@ def operator_latency(traces: DataFrame) -> DataFrame:
 
 
 def drop_repeats(df: DataFrame, keys: list[str], order: list[str], stamp: str, tolerance: int) -> DataFrame:
-    """Per key, in order, without rows whose stamp is within ``tolerance`` of the last kept one: a fold over each key's rows.
+    """Per key, in order, without rows whose whole-number stamp is within ``tolerance`` of the last kept one. Rows without a stamp are left out.
 
-    Keys are files or paths of moderate size.
+    What is kept depends on all that was kept before, so a key is read by one
+    task, but as a stream: the task holds a batch of rows and the last stamp.
     """
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(stamp).alias("_s"))))
-
-    def step(acc, x):
-        far = acc["last"].isNull() | (F.abs(x["_s"] - acc["last"]) > tolerance)
-        return F.when(far, F.struct(x["_s"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
-
-    kind = f"struct<{', '.join(f'{c}:{df.schema[c].dataType.simpleString()}' for c in order)}, _s:{df.schema[stamp].dataType.simpleString()}>"
-    start = F.struct(F.lit(None).cast(df.schema[stamp].dataType).alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
-    folded = df.groupBy(*keys).agg(F.aggregate(rows, start, step).alias("f"))
-    return folded.select(*keys, F.inline("f.kept")).withColumnRenamed("_s", stamp) if stamp not in order else folded.select(*keys, F.inline("f.kept")).drop("_s")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rows = df.select(*df.columns, F.col(stamp).cast("long").alias("_stamp")).where("_stamp is not null").repartition(*keys).sortWithinPartitions(*keys, *order)
+    places = [rows.columns.index(k) for k in keys]
+    arrow = to_arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for b in batches:
+            own = zip(*[b.column(i).to_pylist() for i in places], strict=True)
+            keep = np.zeros(b.num_rows, bool)
+            for i, (k, s) in enumerate(zip(own, b.column(b.num_columns - 1).to_pylist(), strict=True)):
+                if k != now or last is None or abs(s - last) > tolerance:
+                    keep[i], now, last = True, k, s
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:-1]], schema=arrow)
+
+    return rows.mapInArrow(run, df.schema)
