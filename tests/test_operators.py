@@ -229,6 +229,9 @@ def test_queries_of_several_lengths(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>")
     got = {(r["query"], r["rank"]): r.neighbour for r in nearest(df, df.where("id in (0, 3, 7)"), "id", "v", 2).collect()}
     assert got == {(0, 1): 1, (0, 2): 2, (3, 1): 6, (3, 2): 4}
+    df = df.withColumn("g", F.when(F.col("id") != 4, F.col("id") % 2))
+    got = {(r["query"], r["rank"]): r.neighbour for r in nearest(df, df.where("id in (0, 3, 4, 7)"), "id", "v", 2, same="g").collect()}
+    assert got == {(0, 1): 2, (3, 1): 5}
 
 
 def test_components_of_wide_grids_keep_apart(spark):

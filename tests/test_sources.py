@@ -43,3 +43,17 @@ def test_headers_round_trip(spark, tmp_path):
     assert c == {"a_attenuation_dB_20": (1e6, 2.4e9, 20), "b": (2e6, None, None)}
     a = [(r.stem, r.ann_idx, r.sample_start, r.label, r.kind) for r in sigmf.annotations(h).orderBy("ann_idx").collect()]
     assert a == [("a_attenuation_dB_20", 0, 10, "UNLABELED", "annotation"), ("a_attenuation_dB_20", 1, 50, "X", "annotation")]
+
+
+def test_archives_and_words(spark):
+    from wavemill.sources import archives, packets
+
+    files = "array<struct<path: string, text: string>>"
+    df = spark.createDataFrame([(1, [("a/x.txt", "abc"), ("b/y.txt", None), ("a/z.bin", "d")]), (2, [])], f"id int, files {files}")
+    z = archives.packed(df, "id", "files")
+    got = {r.id: (r.paths, r.n_bytes) for r in archives.matching_members(z, "id", "archive", "a/*").collect()}
+    assert got == {1: ("a/x.txt:a/z.bin", 4), 2: ("", 0)}
+    bad = spark.createDataFrame([(3, bytearray(b"no zip")), (4, None)], "id int, archive binary")
+    assert [r.paths for r in archives.matching_members(bad, "id", "archive", "*").collect()] == [None, None]
+    w = spark.createDataFrame([([0, 1, 2**32 - 1],)], "v array<long>").select(packets.words32(F.concat(packets.encode32(F.col("v")), F.lit(b"xyz"))).alias("w"), packets.words32(F.lit(b"ab")).alias("none")).first()
+    assert w.w == [0, 1, 2**32 - 1] and w.none == []

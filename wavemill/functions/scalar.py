@@ -119,3 +119,9 @@ def fnv1a(payload: Column, most: int | None = None) -> Column:
 def pcm16(c: Column) -> Column:
     """[-1, 1] as 16-bit samples, cut off towards 0; values beyond are at the limit."""
     return (clamp(c, -1.0, 1.0) * 32767).cast("int")
+
+
+def gamma(c: Column, power: float, most: int, alpha: Column) -> Column:
+    """Power law over 0..``most``, rounded to whole numbers; components that are ``alpha`` stay, cut off to the range."""
+    held = clamp(c, 0.0, float(most))
+    return F.when(alpha, held).otherwise(F.floor(F.pow(held / most, F.lit(power)) * most + 0.5)).cast("int")

@@ -47,12 +47,12 @@ def operator_edges(spark, folder):
     return operator_latency(t.select(ops.alias("ops"))).select("op", "next_op", "n", F.round("mean_us", 4).alias("mean_us"), "most_us")
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderpriority, o_orderdate FROM orders) SELECT o_custkey, o_orderpriority, count(*) AS n, CAST(min(o_orderdate) AS VARCHAR)[:10] || ' to ' || CAST(max(o_orderdate) AS VARCHAR)[:10] AS dates FROM o GROUP BY 1, 2""")
+@query("""WITH o AS (SELECT o_custkey, o_orderpriority, o_orderdate FROM orders) SELECT o_custkey, o_orderpriority, count(*) AS n, CAST(min(o_orderdate) AS VARCHAR)[:10] || ' to ' || CAST(max(o_orderdate) AS VARCHAR)[:10] AS dates, string_agg(DISTINCT CAST(o_orderdate AS VARCHAR)[:10], ',' ORDER BY CAST(o_orderdate AS VARCHAR)[:10]) AS every_date FROM o GROUP BY 1, 2""")
 def summaries_with_dates(spark, folder):
-    """One row per distinct summary with the range of its dates."""
-    o = table(spark, folder, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    """One row per distinct summary with the range of its dates, and all of them."""
+    o = table(spark, folder, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"), F.collect_set(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("days"))  # as many as there are days
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return o.select("o_custkey", "o_orderpriority", "n", F.concat_ws(" to ", day("a"), day("b")).alias("dates"))
+    return o.select("o_custkey", "o_orderpriority", "n", F.concat_ws(" to ", day("a"), day("b")).alias("dates"), F.array_join(F.sort_array("days"), ",").alias("every_date"))
 
 
 @query("""SELECT label, kind, count(*) AS n, coalesce(list_position(['LTE', 'ZC', 'QPSK', 'BPSK', 'OFDM_A'], label), 999)::INT AS place FROM (SELECT DISTINCT stem, ann_idx, coalesce(label, 'UNLABELED') AS label, coalesce(kind, 'annotation') AS kind FROM annotations) GROUP BY 1, 2""")

@@ -15,15 +15,19 @@ from wavemill.operators import metrics as M
 from wavemill.operators import sampling
 from wavemill.operators import signal as X
 from wavemill.operators.floors import dynamic_floor
+from wavemill.operators.names import regions_once
+from wavemill.operators.nested import metadata_children
 from wavemill.operators.vectors import nearest
-from wavemill.plans.detections import _ANN, _REG, _SIM, FRAME, annotations, regions
+from wavemill.plans.detections import _ANN, _ONCE, _REG, _SIM, FRAME, annotations, regions
+from wavemill.plans.general import _P5_ROWS
 from wavemill.plans.grids import _GRID, N, grid, mask
 from wavemill.plans.metrics import _LAT, _METRICS, _latency, _metrics
 from wavemill.plans.registry import Registry
+from wavemill.plans.reports import tiled_rows
 from wavemill.plans.signals import _H, _IQ, iq
 from wavemill.plans.streams import retune_segments
 from wavemill.session import scratch_path, within, written
-from wavemill.sources import sigmf, traces
+from wavemill.sources import archives, packets, sigmf, traces
 from wavemill.sources.tables import table
 
 query = Registry()
@@ -357,3 +361,74 @@ def back_projected(spark, folder):
     d = iq(spark, folder).groupBy("frame", "row").agg(F.sort_array(F.collect_list(F.struct("col", "re", "im"))).alias("s"))  # 32 samples a line
     b = X.back_project(d.select("frame", "row", F.col("s.re").alias("re"), F.col("s.im").alias("im")), ["frame"], "row", "re", "im", _PIXELS, 1.0, 1.0, 0.7)
     return b.select("frame", "pixel", F.round("re", 5).alias("re"), F.round("im", 5).alias("im"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.query, q.label AS ql, b.vec_id AS neighbour, b.label, round(list_cosine_similarity(q.e, CAST(b.embedding AS DOUBLE[])), 9) AS similarity FROM q JOIN embeddings b ON b.vec_id <> q.query),
+o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) AS rank FROM s WHERE label = ql AND similarity >= 0.25), a AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) AS rank FROM s)
+SELECT query, neighbour, rank, TRUE AS filtered FROM o WHERE rank <= 3 UNION ALL SELECT query, neighbour, rank, FALSE FROM a WHERE rank <= 3 AND query NOT IN (SELECT query FROM o)""")
+def filtered_neighbours(spark, folder):
+    """The nearest vectors of the query's own label that are near enough; for a query without any, the nearest of all."""
+    e = table(spark, folder, "embeddings")
+    q = e.where("vec_id % 100 = 0")
+    own = written(nearest(e, q, "vec_id", "embedding", 3, 0.25, same="label"), "own")
+    rest = nearest(e, q.join(own.select(F.col("query").alias("vec_id")), "vec_id", "left_anti"), "vec_id", "embedding", 3)
+    take = lambda d, filtered: d.select("query", "neighbour", "rank", F.lit(filtered).alias("filtered"))
+    return take(own, True).unionByName(take(rest, False))
+
+
+@query("""SELECT user_id, string_agg(event_type || '/' || event_id || '.json', ':' ORDER BY event_type || '/' || event_id || '.json') AS paths, sum(length(props))::BIGINT AS n_bytes FROM events WHERE event_type IN ('purchase', 'click') AND props IS NOT NULL GROUP BY 1""")
+def unzipped_members(spark, folder):
+    """Each user's events packed into an archive, and the members of two kinds found in it again."""
+    e = table(spark, folder, "events").where("event_type is not null and props is not null")
+    one = F.struct(F.concat("event_type", F.lit("/"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").alias("text"))
+    z = archives.packed(e.groupBy("user_id").agg(F.collect_list(one).alias("files")), "user_id", "files")  # an archive holds all files of its user
+    return archives.matching_members(z, "user_id", "archive", "[pc]*/*.json").where("paths <> ''")
+
+
+@query(f"""WITH {_GRID} SELECT frame, "row", sum(value) AS total FROM g GROUP BY 1, 2""")
+def reassembled_rows(spark, folder):
+    """Frames cut into tiles of ten rows, filled up, put together again without what was filled up."""
+    t = tiled_rows(spark, folder)
+    return t.select("frame", (F.col("tile") * 10 + F.col("tile_row")).cast("int").alias("row"), "total").where(F.col("row") < N)
+
+
+@query(f"""{_P5_ROWS}, v AS (SELECT child_value FROM p5 WHERE child_kind = 'tested_version') SELECT child_value AS version, count(*) AS n FROM v GROUP BY 1""")
+def tested_version_counts(spark, folder):
+    """How often each version is among those an entry was tested with."""
+    c = metadata_children(table(spark, folder, "project_metadata")).where("child_kind = 'tested_version'")
+    return c.groupBy(F.col("child_value").alias("version")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_METRICS}, a AS (SELECT list(DISTINCT detector) AS every FROM m WHERE detector IS NOT NULL), f AS (SELECT file_stem, frame_number, list(DISTINCT detector) AS own FROM m GROUP BY 1, 2)
+SELECT file_stem, frame_number, array_to_string(list_sort(list_filter(every, lambda d: NOT list_contains(coalesce(own, []), d))), ',') AS missing FROM f, a WHERE len(list_filter(every, lambda d: NOT list_contains(coalesce(own, []), d))) > 0""")
+def missing_detectors(spark, folder):
+    """Detectors that told nothing of a frame others told of."""
+    m = _metrics(spark, folder)
+    known = m.select("detector").where("detector is not null").distinct()
+    if not within(known, 1_000):
+        raise ValueError("too many detectors for an array")
+    every = F.array(*[F.lit(x["detector"]) for x in known.collect()]).cast("array<string>")
+    f = m.groupBy("file_stem", "frame_number").agg(F.collect_set("detector").alias("own"))  # at most all detectors
+    return f.select("file_stem", "frame_number", F.array_join(F.sort_array(F.array_except(every, "own")), ",").alias("missing")).where("missing <> ''")
+
+
+@query(f"""WITH {_ONCE}, r AS (SELECT * FROM once WHERE frame IS NOT NULL AND split = 'test') SELECT frame_id, count(*) AS n, count(DISTINCT label) AS n_labels, max(bandwidth_hz) AS widest FROM r GROUP BY 1""")
+def held_out_regions(spark, folder):
+    """Regions of each frame that the test split has."""
+    r = regions_once(table(spark, folder, "regions"), table(spark, folder, "captures")).where("frame is not null and split = 'test'")
+    return r.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("n_labels"), F.max("bandwidth_hz").alias("widest"))
+
+
+@query(f"""WITH {_GRID} SELECT frame, "row", count(*) FILTER (WHERE value > 20) AS hot, max(value)::BIGINT AS most, CAST(arg_max(col, (value, -col)) AS BIGINT) AS at_col FROM g GROUP BY 1, 2""")
+def pulse_words(spark, folder):
+    """What is known of each line as words of a packet, and read from it again: cells above a level, the largest value, and where it is."""
+    p = grid(spark, folder).groupBy("frame", "row").agg(F.count_if(F.col("value") > 20).alias("hot"), F.max("value").cast("long").alias("most"), F.max_by("col", F.struct("value", -F.col("col"))).cast("long").alias("at"))
+    w = p.select("frame", "row", packets.words32(packets.encode32(F.array("hot", "most", "at"))).alias("w"))
+    return w.select("frame", "row", *[F.col("w")[i].alias(n) for i, n in enumerate(("hot", "most", "at_col"))])
+
+
+@query(f"""WITH {_GRID} SELECT frame, max(value) AS most, arg_max({{'r': "row", 'c': col}}, (value, -"row", -col)).r AS at_row, arg_max({{'r': "row", 'c': col}}, (value, -"row", -col)).c AS at_col FROM g GROUP BY 1""")
+def peak_location(spark, folder):
+    """Where each frame's largest cell lies, the first of equals."""
+    g = grid(spark, folder).groupBy("frame").agg(F.max("value").alias("most"), F.max_by(F.struct("row", "col"), F.struct("value", -F.col("row"), -F.col("col"))).alias("at"))
+    return g.select("frame", "most", F.col("at.row").alias("at_row"), F.col("at.col").alias("at_col"))

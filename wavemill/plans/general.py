@@ -69,6 +69,9 @@ o AS (SELECT *, CASE WHEN json_type(v) = 'OBJECT' THEN json_extract(v, '$.' || k
 f AS (SELECT record_id, entry_no, child_kind, pos, {_text('own')} AS child_value, list_position({CONTENT_KEYS!r}, content) AS rank FROM o)
 SELECT record_id, entry_no, child_kind, pos, child_value FROM f WHERE child_value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id, entry_no, child_kind, pos ORDER BY rank) = 1"""
 
+#: The same as a common table to go on from.
+_P5_ROWS = "WITH p5 AS (" + _P5 + ")"
+
 _PLACES = "coalesce(len({}), 0)"
 _P5_PROJECTS = f"""WITH {_ENTRY}, f AS (SELECT *, json_extract(x, '$.name') AS a, json_extract(x, '$.version') AS b, json_extract(x, '$.holoscan_sdk.minimum_required_version') AS m, json_extract(x, '$.authors') AS authors, json_extract(x, '$.tags') AS tags FROM c)
 SELECT record_id, entry_no, content, {_text('a')} AS name, {_text('b')} AS version, {_text('m')} AS minimum_required_version, {_PLACES.format(_elements('authors'))} AS n_authors, {_PLACES.format(_elements('tags'))} AS n_tags FROM f"""

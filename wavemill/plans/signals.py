@@ -85,10 +85,10 @@ def point_cloud(spark, folder):
     return table(spark, folder, "events").where("value is not null").select("event_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(z, 6).alias("z"))
 
 
-@query(f'WITH {_GRID} SELECT frame, "row", col, CAST(floor(power(least(value, 255) / 255, 1 / 2.2) * 255 + 0.5) AS INT) AS pixel FROM g')
+@query(f'WITH {_GRID} SELECT frame, "row", col, CAST(CASE WHEN col % 4 = 3 THEN least(value, 255) ELSE floor(power(least(value, 255) / 255, 1 / 2.2) * 255 + 0.5) END AS INT) AS pixel FROM g')
 def gamma_corrected(spark, folder):
-    v = F.pow(F.least("value", F.lit(255.0)) / 255, F.lit(1 / 2.2)) * 255
-    return grid(spark, folder).select("frame", "row", "col", F.floor(v + 0.5).cast("int").alias("pixel"))
+    """Four components a pixel, the last one alpha, which stays."""
+    return grid(spark, folder).select("frame", "row", "col", S.gamma(F.col("value"), 1 / 2.2, 255, F.col("col") % 4 == 3).alias("pixel"))
 
 
 @query(f"""WITH {_GRID}, n AS (SELECT frame, "row", value, row_number() OVER (PARTITION BY frame, "row" ORDER BY value DESC, col) AS k FROM g WHERE col >= 8), p AS (SELECT frame, "row", avg(value) AS peak FROM n WHERE k <= 2 GROUP BY 1, 2), q AS (SELECT frame, "row", avg(value) AS noise FROM g WHERE col < 8 GROUP BY 1, 2)

@@ -24,3 +24,16 @@ def encode(packet_id: Column, values: Column) -> Column:
     """The payload of whole numbers in an array."""
     word = lambda v: F.lpad(F.hex(F.pmod(v.cast("long"), F.lit(65536))), 4, "0")
     return F.unhex(F.concat(word(packet_id), F.array_join(F.transform(values, word), "")))
+
+
+def words32(payload: Column) -> Column:
+    """Big-endian unsigned 32-bit words; a short tail is dropped."""
+    h = F.hex(payload)
+    n = F.floor(F.length(h) / 8).cast("int")
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda k: F.conv(F.substring(h, k * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+
+
+def encode32(values: Column) -> Column:
+    """The payload of whole numbers in an array."""
+    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(F.pmod(v.cast("long"), F.lit(1 << 32))), 8, "0")), ""))
