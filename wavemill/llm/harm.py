@@ -39,6 +39,7 @@ from wavemill.session import small_side, within, written
 
 LABELLED_DOCS = 100_000
 MOST_TERMS = 500_000
+ROWS_PER_TASK = 25_000
 FOLDS = 10
 LONGEST = 3  # words in a weighed sequence
 MIN_DOCS = 3
@@ -412,6 +413,8 @@ def train(docs: DataFrame, labels: DataFrame, terms: DataFrame, most: int = LABE
     lexicon = Lexicon(given, table["seq"][use].tolist(), weights[use])
     spread = known.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     x = written(_with_features(spread, ["positive", "weight", "fold"], lexicon), "features").select("positive", "weight", "fold", array_to_vector("x").alias("features"))
+    # The fits are many small jobs over a bounded sample: few tasks each.
+    x = x.coalesce(max(2, sum(sizes.values()) // ROWS_PER_TASK))
     with ThreadPoolExecutor(2) as pool:  # two fits of many small jobs each
         models = tuple(pool.map(lambda folds: _fit(x, sizes, folds, trees, depth, seed), halves))
     held = _margins(x, models).select(F.col("positive").cast("double").alias("label"), "weight", "margin")
