@@ -68,11 +68,45 @@ def test_records_come_as_often_as_taken(spark):
     assert {r.doc_id for r in rows.where("text is null").collect()} == {30_000} and M.records(docs(spark), chosen.limit(0)).count() == 0
 
 
-def test_queries_hit_every_share(spark, data):
+def spread(chosen, report, counted):
+    """For each source how far its tokens are from those wanted, in standard deviations of independent draws."""
+    each = counted.join(report.select("source", "rate"), "source").withColumn("p", F.col("rate") - F.floor("rate"))
+    sd = {r.source: r.v**0.5 for r in each.groupBy("source").agg(F.sum(F.col("tokens") ** 2 * F.col("p") * (1 - F.col("p"))).alias("v")).collect()}
+    return {r.source: (r.used_tokens - r.rate * r.available_tokens) / sd[r.source] for r in report.collect() if sd.get(r.source)}
+
+
+def test_one_more_copy_is_drawn_by_itself(spark):
+    targets = spark.createDataFrame([("web_crawl", 0.7, 2), ("tiny", 0.3, 7)], TARGETS)
+    counted = docs(spark).where("doc_id is not null and text <> ''").select("doc_id", M.source_name(F.col("source")).alias("source"), F.lit(4).alias("tokens")).distinct()
+    taken = {}
+    for total, seed in ((6000, 0), (6000, 1), (9000, 0)):
+        chosen, report = M.mix(docs(spark), targets, TOKENIZERS, total_tokens=total, seed=seed)
+        rates = {r.source: r.rate for r in report.collect()}
+        off = spread(chosen, report, counted)
+        assert off and all(abs(x) < 5 for x in off.values())
+        rows = chosen.collect()
+        assert all(int(rates[r.source]) <= r.copies <= int(rates[r.source]) + 1 for r in rows)
+        taken[total, seed] = {r.doc_id for r in rows if r.source == "web_crawl" and r.copies > int(rates["web_crawl"])}
+    # Of a source, the documents drawn at a higher rest are more of the same; another seed draws others.
+    assert taken[6000, 0] < taken[9000, 0] and taken[6000, 0] != taken[6000, 1]
+
+
+def test_queries_want_every_share(spark, data):
     from wavemill.llm.queries import p7_mix, p7_shares
 
-    r = [x for x in p7_shares(spark, data).collect() if x.available_tokens and x.target_share]
+    report, chosen = p7_shares(spark, data), p7_mix(spark, data)
+    r = [x for x in report.collect() if x.available_tokens and x.target_share]
     whole = sum(x.target_share for x in r)
     assert r and all(abs(x.expected_share - x.target_share / whole) < 1e-9 for x in r)
-    longest = p7_mix(spark, data).agg(F.max("tokens")).first()[0]
+    documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", M.source_name(F.col("source")).alias("source"), "text").dropDuplicates(["doc_id"])
+    counted = M.token_counts(documents, "text", F.col("doc_id"), F.col("source"), folder=TOKENIZERS)
+    assert all(abs(x) < 5 for x in spread(chosen, report, counted).values())
+
+
+def test_balanced_hits_every_share(spark, data):
+    chosen, report = M.mix(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/mix_targets.parquet"), TOKENIZERS, strict=True, balanced=True)
+    r = [x for x in report.collect() if x.available_tokens and x.target_share]
+    whole = sum(x.target_share for x in r)
+    assert r and all(abs(x.expected_share - x.target_share / whole) < 1e-9 for x in r)
+    longest = chosen.agg(F.max("tokens")).first()[0]
     assert all(abs(x.used_tokens - x.rate * x.available_tokens) <= longest / 2 for x in r)

@@ -2,9 +2,11 @@
 
 Tokens are counted once per document and written with its source. Tokens per
 source give each source's rate: how often its tokens are needed. A document is
-taken ``floor(rate)`` times, and the first of each source in the order of a hash
-of the id once more, up to the rest of the tokens wanted; so a source misses its
-tokens by half a document at most, and the choice is the same on every run.
+taken ``floor(rate)`` times, and once more with the probability of the rest, by a
+hash of its id and the seed: no order and no shuffle, and the same choice on every
+run. A source's tokens then differ from those wanted by chance, the less so the
+more documents it has; the shares reached are reported. Where few documents must
+come nearer, ``balanced`` takes the first in hash order instead.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from wavemill.operators.ordered import running
 from wavemill.session import small_side, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+_HASH_RANGE = 2**53
 # Fixed value: how this vocabulary's texts are cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -78,7 +81,7 @@ def source_name(c: Column) -> Column:
     return F.when(s != "", s)
 
 
-def mix(docs: DataFrame, targets: DataFrame, folder: str, total_tokens: int | None = None, strict: bool = False, seed: int = 0, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, folder: str, total_tokens: int | None = None, strict: bool = False, balanced: bool = False, seed: int = 0, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The chosen documents and the shares reached.
 
     Chosen: ``doc_id, source, tokens, copies`` (at least 1). Shares: ``source,
@@ -93,7 +96,10 @@ def mix(docs: DataFrame, targets: DataFrame, folder: str, total_tokens: int | No
     all they may, ``max_repeats`` times each document, and the others fill up, in
     proportion to their shares, as far as their own limits go; the shares
     reached are reported. With ``strict`` the mixture is instead the largest one
-    in which no source falls short, which the scarcest source decides.
+    in which no source falls short, which the scarcest source decides. With
+    ``balanced`` the copies beyond ``floor(rate)`` are not drawn but go to the first
+    documents in hash order, so that a source misses its tokens by half a document
+    at most, for a sort of all documents.
     A null or negative share or limit counts as 0, a source listed twice has the
     sum of the shares and the smaller limit. ``folder`` has the files of public
     tokenizers, at the same place on every executor.
@@ -109,10 +115,15 @@ def mix(docs: DataFrame, targets: DataFrame, folder: str, total_tokens: int | No
     per = counted.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").cast("double").alias("available"))
     rates = _rates(wanted.join(per, "source", "left").fillna(0, ["n_docs", "available"]), total_tokens, strict)
     rates = written(rates, "rates")
-    drawn = running(counted.withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id")), ["source"], ["_draw", "doc_id"], "_upto", F.col("tokens"))
-    more = F.col("_upto") - F.col("tokens") / 2 <= (F.col("rate") - F.floor("rate")) * F.col("available")  # the middle of its tokens
-    copies = F.floor("rate") + F.when(more & (F.col("rate") > F.floor("rate")), 1).otherwise(0)
-    chosen = drawn.join(small_side(rates.select("source", "rate", "available")), "source").select("doc_id", "source", "tokens", copies.cast("int").alias("copies")).where("copies > 0")
+    rate = small_side(rates.select("source", "rate", "available"))
+    rest = F.col("rate") - F.floor("rate")
+    if balanced:
+        counted = running(counted.withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id")), ["source"], ["_draw", "doc_id"], "_upto", F.col("tokens"))
+        more = (F.col("_upto") - F.col("tokens") / 2 <= rest * F.col("available")) & (rest > 0)  # the middle of its tokens
+    else:
+        more = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_HASH_RANGE)) / F.lit(float(_HASH_RANGE)) < rest
+    copies = F.floor("rate") + F.when(more, 1).otherwise(0)
+    chosen = counted.join(rate, "source").select("doc_id", "source", "tokens", copies.cast("int").alias("copies")).where("copies > 0")
     used = chosen.groupBy("source").agg(F.sum("copies").alias("used_docs"), F.sum(F.col("copies") * F.col("tokens")).alias("used_tokens"))
     whole = Window.partitionBy(F.lit(0))  # one row per listed source
     report = rates.join(used, "source", "left").fillna(0, ["used_docs", "used_tokens"])
