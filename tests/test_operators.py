@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -288,3 +290,73 @@ def test_quantiles(spark):
     got = {r.k: (r.x, r.y) for r in M.quantiles(df, ["k"], "v", ["t"], {"x": 0.5, "y": 0.93}).collect()}
     assert all(np.allclose(got[k], np.quantile(x, [0.5, 0.93])) for k, x in (("a", v[:60]), ("b", v[60:])))
     assert np.isclose(M.quantiles(df, [], "v", ["t"], {"x": 0.1}).first()["x"], np.quantile(v, 0.1))
+
+
+def test_contrast_lens_crop_and_heat(spark):
+    rng = np.random.default_rng(4)
+    values = {f: rng.integers(0, 200, (8, 12)).astype(float) for f in ("a", "b")}
+    rows = [(f, r, c, float(v[r, c])) for f, v in values.items() for r in range(8) for c in range(12)]
+    g = spark.createDataFrame([(*x, "n") for x in rows], "frame string, row int, col int, value double, n string")
+
+    def plain(v, down, across, clip, levels):
+        v = np.minimum(v, levels - 1).astype(int)
+        h, w = v.shape[0] // down, v.shape[1] // across
+        limit, maps = max(1, int(clip * h * w / levels)), np.zeros((down, across, levels))
+        for i in range(down):
+            for j in range(across):
+                n = np.bincount(v[i * h : i * h + h, j * w : j * w + w].ravel(), minlength=levels)
+                over = int(np.maximum(n - limit, 0).sum())
+                n = np.minimum(n, limit) + over // levels
+                rest = over % levels
+                for k in range(rest):
+                    n[k * max(levels // rest, 1)] += 1
+                maps[i, j] = np.minimum(np.round(np.cumsum(n) * ((levels - 1) / (h * w))), levels - 1)
+        out = np.zeros(v.shape, int)
+        for r in range(v.shape[0]):
+            for c in range(v.shape[1]):
+                y, x = r / h - 0.5, c / w - 0.5
+                i, j = math.floor(y), math.floor(x)
+                t, b, le, ri = max(i, 0), min(i + 1, down - 1), max(j, 0), min(j + 1, across - 1)
+                m = maps[:, :, v[r, c]]
+                out[r, c] = round((m[t, le] * (1 - (x - j)) + m[t, ri] * (x - j)) * (1 - (y - i)) + (m[b, le] * (1 - (x - j)) + m[b, ri] * (x - j)) * (y - i))
+        return out
+
+    for tiles, clip, levels in (((2, 3), 2.0, 256), ((4, 2), 1.0, 64), ((1, 1), 40.0, 16)):
+        got = {(r.frame, r.row, r.col): r.pixel for r in G.equalised(g, 8, 12, tiles, clip, levels).collect()}
+        for f, v in values.items():
+            want = plain(v, *tiles, clip, levels)
+            assert all(got[f, r, c] == want[r, c] for r in range(8) for c in range(12))
+    with pytest.raises(ValueError):
+        G.equalised(g, 8, 12, (3, 3))
+
+    same = {(r.frame, r.row, r.col): r.value for r in G.undistorted(g, 8, 12, 10.0, 0.0, 0.0).collect()}
+    assert same == {(f, r, c): v for f, r, c, v in rows}
+    bent = {(r.frame, r.row, r.col): r.value for r in G.undistorted(g, 8, 12, 10.0, 0.5, 0.1).collect()}
+    for f, v in values.items():
+        padded = np.pad(v, 6)
+        for r in range(8):
+            for c in range(12):
+                y, x = (r - 3.5) / 10, (c - 5.5) / 10
+                grow = 1 + 0.5 * (y * y + x * x) + 0.1 * (y * y + x * x) ** 2
+                y, x = y * grow * 10 + 3.5 + 6, x * grow * 10 + 5.5 + 6
+                i, j = math.floor(y), math.floor(x)
+                near = padded[i : i + 2, j : j + 2]
+                assert abs(bent[f, r, c] - np.array([1 - y + i, y - i]) @ near @ np.array([1 - x + j, x - j])) < 1e-9
+    assert bent["a", 0, 0] == 0
+
+    cut = G.cropped(g, (2, 5), (10, 20))
+    assert {(r.row, r.col) for r in cut.collect()} == {(r, c) for r in range(3) for c in range(2)}
+    odd = spark.createDataFrame([("a", 0, i, v) for i, v in enumerate([None, float("nan"), -5.0, 10.0, 15.0, 99.0])], "frame string, row int, col int, value double")
+    assert [(r.red, r.green, r.blue) for r in G.heat(odd, 0.0, 20.0).orderBy("col").collect()] == [(None,) * 3, (None,) * 3, (0, 0, 127), (127, 255, 127), (255, 127, 0), (127, 0, 0)]
+    none = g.limit(0)
+    assert G.equalised(none, 8, 12, (2, 3)).count() == G.undistorted(none, 8, 12, 10.0, 0.1, 0.0).count() == G.heat(cut.limit(0), 0.0, 1.0).count() == 0
+
+
+def test_a_full_sink_tells_what_it_drops(spark):
+    rows = [(c, i // 5 if c else None, i, 2 if i % 3 else None, "x") for c in (0, 1) for i in range(12)]
+    df = spark.createDataFrame(rows, "channel int, second int, i int, n_iq int, n_rows string")
+    kept, account = sampling.shed(df, ["channel"], F.col("second"), ["i"], 3, {"lost": "n_iq"})
+    assert {(r.channel, r.i) for r in kept.collect()} == {(0, i) for i in range(12)} | {(1, i) for i in range(12) if i % 5 < 3} and kept.columns == df.columns
+    got = {(r.channel, r.period): (r.n_kept, r.n_dropped, r.lost) for r in account.collect()}
+    assert got == {(0, None): (12, 0, 0), (1, 0): (3, 2, 2), (1, 1): (3, 2, 2), (1, 2): (2, 0, 0)}
+    assert sampling.shed(df.limit(0), ["channel"], F.col("second"), ["i"], 3, {"lost": "n_iq"})[1].count() == 0

@@ -147,6 +147,89 @@ def resample(grid: DataFrame, rows: int, cols: int, to_rows: int, to_cols: int,
     return g.groupBy("frame", "row", "col").agg(F.max(value).alias(value))
 
 
+def cropped(grid: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """The cells of half-open ranges of rows and columns, counted from the range's start."""
+    inside = (F.col("row") >= rows[0]) & (F.col("row") < rows[1]) & (F.col("col") >= cols[0]) & (F.col("col") < cols[1])
+    return grid.where(inside).withColumn("row", (F.col("row") - rows[0]).cast("int")).withColumn("col", (F.col("col") - cols[0]).cast("int"))
+
+
+def heat(grid: DataFrame, low: float, high: float, value: str = "value") -> DataFrame:
+    """Values between ``low`` and ``high`` as colours from blue over green to red: ``frame, row, col, red, green, blue``, each 0..255; values beyond have the colours of the ends, a null or NaN one has null."""
+    v = F.col(value).cast("double")
+    t = F.when(v.isNotNull() & ~F.isnan(v), F.least(F.greatest((v - low) / (high - low), F.lit(0.0)), F.lit(1.0)))
+    part = lambda middle: F.floor(F.when(t.isNotNull(), F.least(F.greatest(1.5 - F.abs(4 * t - middle), F.lit(0.0)), F.lit(1.0))) * 255).cast("int")
+    return grid.select("frame", "row", "col", part(3).alias("red"), part(2).alias("green"), part(1).alias("blue"))
+
+
+def equalised(grid: DataFrame, rows: int, cols: int, tiles: tuple[int, int], clip: float = 2.0, levels: int = 256, value: str = "value") -> DataFrame:
+    """Contrast-limited adaptive equalisation: ``frame, row, col, pixel``.
+
+    Per tile a histogram of the levels, of which none may hold more than ``clip``
+    times an even share (at least 1); what is over goes to all levels evenly, the
+    rest of that to every n-th one. Its running sum, scaled to the levels, maps a
+    tile's cells; between tile centres the four nearest maps are mixed linearly.
+    Values are cut to 0..``levels`` - 1 first, nulls count as 0. Rows and columns
+    are multiples of the tiles; every cell must be there.
+    """
+    down, across = tiles
+    if rows % down or cols % across:
+        raise ValueError("tiles must divide the grid")
+    height, width = rows // down, cols // across
+    area = height * width
+    limit = max(1, int(clip * area / levels))
+    g = grid.select("frame", "row", "col", F.least(F.greatest(F.coalesce(F.floor(value), F.lit(0)), F.lit(0)), F.lit(levels - 1)).cast("int").alias("_v"))
+    tile = F.floor(F.col("row") / height) * across + F.floor(F.col("col") / width)
+    histogram = g.groupBy("frame", tile.cast("int").alias("tile"), "_v").agg(F.count(F.lit(1)).alias("n"))
+    # A tile has at most as many levels as cells, a frame as many maps as tiles.
+    by = histogram.groupBy("frame", "tile").agg(F.map_from_entries(F.collect_list(F.struct("_v", F.least("n", F.lit(limit)).alias("n")))).alias("n"), F.sum(F.greatest(F.col("n") - limit, F.lit(0))).alias("over"))
+    rest = F.col("over") % levels
+    step = F.greatest(F.floor(levels / F.nullif(rest, F.lit(0))), F.lit(1))
+
+    def mapped(done: Column, v: Column) -> Column:
+        upto = done["sum"] + F.coalesce(F.try_element_at("n", v), F.lit(0))
+        even = F.floor(F.col("over") / levels) * (v + 1) + F.coalesce(F.least(rest, F.floor(v / step) + 1), F.lit(0))
+        level = F.least(F.rint((upto + even) * F.lit((levels - 1) / area)), F.lit(float(levels - 1)))
+        return F.struct(upto.alias("sum"), F.concat(done["map"], F.array(level)).alias("map"))
+
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<double>").alias("map"))
+    by = by.select("frame", F.struct("tile", F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, mapped, lambda d: d["map"]).alias("map")).alias("entry"))
+    maps = by.groupBy("frame").agg(F.map_from_entries(F.collect_list("entry")).alias("_maps"))
+
+    def near(i: str, size: int, n: int) -> tuple[Column, Column, Column]:
+        at = F.col(i) / size - 0.5
+        return F.greatest(F.floor(at), F.lit(0)).cast("int"), F.least(F.floor(at) + 1, F.lit(n - 1)).cast("int"), at - F.floor(at)
+
+    (top, bottom, y), (left, right, x) = near("row", height, down), near("col", width, across)
+    get = lambda r, c: F.element_at(F.element_at("_maps", (r * across + c).cast("int")), F.col("_v") + 1)
+    mixed = (get(top, left) * (1 - x) + get(top, right) * x) * (1 - y) + (get(bottom, left) * (1 - x) + get(bottom, right) * x) * y
+    return g.join(maps, "frame").select("frame", "row", "col", F.rint(mixed).cast("int").alias("pixel"))
+
+
+def undistorted(grid: DataFrame, rows: int, cols: int, focal: float, k1: float, k2: float, value: str = "value") -> DataFrame:
+    """Lens distortion taken out: ``frame, row, col, value``.
+
+    A cell at distance r (in ``focal`` lengths) from the middle gets the value
+    at r (1 + k1 r^2 + k2 r^4) in its direction, mixed from the four cells
+    around that place; cells outside the grid, and nulls, count as 0. Every cell must
+    be there. The table of places has a grid's size.
+    """
+    spark = grid.sparkSession
+    cy, cx = (rows - 1) / 2, (cols - 1) / 2
+    cells = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("to_row"), (F.col("id") % cols).cast("int").alias("to_col"))
+    y, x = (F.col("to_row") - cy) / focal, (F.col("to_col") - cx) / focal
+    r2 = x * x + y * y
+    grow = 1 + k1 * r2 + k2 * r2 * r2
+    places = cells.select("to_row", "to_col", (y * grow * focal + cy).alias("y"), (x * grow * focal + cx).alias("x"))
+    corner = F.array(*[F.struct((F.floor("y") + a).cast("int").alias("row"), (F.floor("x") + b).cast("int").alias("col"), ((1 - F.abs(F.col("y") - F.floor("y") - a)) * (1 - F.abs(F.col("x") - F.floor("x") - b))).alias("w")) for a in (0, 1) for b in (0, 1)])
+    places = places.select("to_row", "to_col", F.inline(corner))
+    from wavemill.session import small_side
+
+    seen = grid.select("frame", "row", "col", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x")).join(small_side(places, 4_000_000), ["row", "col"])
+    got = seen.groupBy("frame", "to_row", "to_col").agg(F.sum(F.col("w") * F.col("_x")).alias("_s"))
+    every = grid.select("frame", "row", "col").join(got.select("frame", F.col("to_row").alias("row"), F.col("to_col").alias("col"), "_s"), ["frame", "row", "col"], "left")
+    return every.select("frame", "row", "col", F.coalesce("_s", F.lit(0.0)).alias("value"))
+
+
 def rings(grid: DataFrame, rows: int, cols: int, value: str = "value") -> DataFrame:
     """Mean per distance from the edge: ``frame, ring, n, mean``."""
     ring = F.least(F.col("row"), F.lit(rows - 1) - F.col("row"), F.col("col"), F.lit(cols - 1) - F.col("col"))

@@ -61,3 +61,21 @@ def channel(df: DataFrame, column: str, wanted: int, partial: str | None = None)
 def every_nth(df: DataFrame, keys: list[str], order: list[str], every: int, most: int) -> DataFrame:
     """Of each channel's frames ``every``, ``2 * every``, ... the first ``most``."""
     return stride(df, keys, order, every).where(F.col("row_no") <= every * most)
+
+
+def shed(df: DataFrame, channel: list[str], period: Column, order: list[str], room: int, lost: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """What a sink with room for ``room`` batches a period keeps, and an account of what it drops.
+
+    In each period of a channel the first ``room`` rows are kept and later ones
+    dropped, not put off. The account has ``channel, period, n_kept, n_dropped``
+    and, for each entry of ``lost``, the sum of that column over the dropped rows;
+    nulls count as 0. Rows without a period are kept, as nothing says when they came.
+    """
+    keys, places = [f"_k{i}" for i in range(len(channel))], [f"_o{i}" for i in range(len(order))]
+    named = [F.col(c).alias(n) for c, n in zip([*channel, *order], [*keys, *places], strict=True)]
+    rows = numbered(df.select(F.struct(*df.columns).alias("_own"), *named, period.alias("_period")), [*keys, "_period"], places)
+    dropped = (F.col("row_no") > max(1, room)) & F.col("_period").isNotNull()
+    sums = [F.coalesce(F.sum(F.when(dropped, F.col("_own")[c])), F.lit(0)).alias(name) for name, c in lost.items()]
+    account = rows.groupBy(*keys, "_period").agg(F.count_if(~dropped).alias("n_kept"), F.count_if(dropped).alias("n_dropped"), *sums)
+    told = [F.col(n).alias(c) for c, n in zip(channel, keys, strict=True)]
+    return rows.where(~dropped).select("_own.*"), account.select(*told, F.col("_period").alias("period"), "n_kept", "n_dropped", *lost)

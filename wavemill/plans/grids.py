@@ -188,3 +188,31 @@ def dynamic_floor(spark, folder):
 
     levels = grid(spark, folder).groupBy("row", "frame").agg(F.sum("value").alias("level"))
     return floor(levels, ["row"], ["frame"], "level", _SLOT, 8).select("row", "frame", F.col("floor").alias("noise_floor"))
+
+
+@query(f"""WITH {_GRID}, t AS (SELECT frame, "row" - 4 AS "row", col - 8 AS col, least(greatest((value - 5) / 55, 0.0), 1.0) AS t FROM g WHERE "row" >= 4 AND "row" < 28 AND col >= 8 AND col < 24)
+SELECT frame, "row", col, CAST(floor(least(greatest(1.5 - abs(4 * t - 3), 0), 1) * 255) AS INT) AS red, CAST(floor(least(greatest(1.5 - abs(4 * t - 2), 0), 1) * 255) AS INT) AS green, CAST(floor(least(greatest(1.5 - abs(4 * t - 1), 0), 1) * 255) AS INT) AS blue FROM t""")
+def cropped_heat(spark, folder):
+    """A cut-out in colours."""
+    return G.heat(G.cropped(grid(spark, folder), (4, 28), (8, 24)), 5.0, 60.0)
+
+
+@query(f"""WITH {_GRID}, u AS (SELECT frame, "row" AS r, col AS c, CAST(least(floor(value), 63) AS INT) AS v FROM g),
+h AS (SELECT frame, r // 8 AS tr, c // 8 AS tc, v, count(*) AS n FROM u GROUP BY ALL), o AS (SELECT frame, tr, tc, sum(greatest(n - 2, 0)) AS excess FROM h GROUP BY ALL),
+f AS (SELECT o.*, l.k AS v, excess // 64 + CASE WHEN excess % 64 > 0 AND l.k % greatest(64 // (excess % 64), 1) = 0 AND l.k // greatest(64 // (excess % 64), 1) < excess % 64 THEN 1 ELSE 0 END + least(coalesce(h.n, 0), 2) AS n FROM o CROSS JOIN range(64) l(k) LEFT JOIN h ON h.frame = o.frame AND h.tr = o.tr AND h.tc = o.tc AND h.v = l.k),
+m AS (SELECT frame, tr, tc, v, least(round_even(sum(n) OVER (PARTITION BY frame, tr, tc ORDER BY v) * (63.0 / 64)::DOUBLE, 0), 63) AS y FROM f),
+p AS (SELECT *, r / 8 - 0.5 AS fy, c / 8 - 0.5 AS fx FROM u), q AS (SELECT *, greatest(floor(fy), 0) AS top, least(floor(fy) + 1, 3) AS bottom, fy - floor(fy) AS wy, greatest(floor(fx), 0) AS l, least(floor(fx) + 1, 3) AS rt, fx - floor(fx) AS wx FROM p)
+SELECT q.frame, q.r AS "row", q.c AS col, CAST(round_even((a.y * (1 - wx) + b.y * wx) * (1 - wy) + (c.y * (1 - wx) + d.y * wx) * wy, 0) AS INT) AS pixel FROM q
+JOIN m a ON a.frame = q.frame AND a.v = q.v AND a.tr = q.top AND a.tc = q.l JOIN m b ON b.frame = q.frame AND b.v = q.v AND b.tr = q.top AND b.tc = q.rt
+JOIN m c ON c.frame = q.frame AND c.v = q.v AND c.tr = q.bottom AND c.tc = q.l JOIN m d ON d.frame = q.frame AND d.v = q.v AND d.tr = q.bottom AND d.tc = q.rt""")
+def equalised(spark, folder):
+    """Contrast equalised in 4 x 4 tiles of 64 levels, at most twice an even share in each."""
+    return G.equalised(grid(spark, folder), N, N, (4, 4), 2.0, 64)
+
+
+@query(f"""WITH {_GRID}, k AS (SELECT r.k::INT AS tr, c.k::INT AS tc, (r.k - 15.5) / 24 AS y, (c.k - 15.5) / 24 AS x FROM range({N}) r(k) CROSS JOIN range({N}) c(k)), s AS (SELECT *, x * x + y * y AS r2 FROM k),
+p AS (SELECT tr, tc, y * (1 + -0.18 * r2 + 0.05 * r2 * r2) * 24 + 15.5 AS sy, x * (1 + -0.18 * r2 + 0.05 * r2 * r2) * 24 + 15.5 AS sx FROM s)
+SELECT g.frame, p.tr AS "row", p.tc AS col, round(sum(greatest(0, 1 - abs(sy - g."row")) * greatest(0, 1 - abs(sx - g.col)) * g.value), 6) AS value FROM p JOIN g ON abs(sy - g."row") < 1 AND abs(sx - g.col) < 1 GROUP BY ALL""")
+def undistorted(spark, folder):
+    """Barrel distortion of a lens taken out."""
+    return G.undistorted(grid(spark, folder), N, N, 24.0, -0.18, 0.05).select("frame", "row", "col", F.round("value", 6).alias("value"))

@@ -120,3 +120,11 @@ def snapshot_budget(spark, folder):
     n = table(spark, folder, "latency_samples").select("cell_index", "sample_id").distinct().groupBy("cell_index").agg(F.count("sample_id").alias("n"))
     c = table(spark, folder, "latency_cells").withColumn("size", S.fft_size(F.col("sample_rate_hz"), 20e6, 1024))
     return c.join(n, "cell_index").select("cell_index", "size", F.round(S.frame_budget_ms(F.lit(512), F.col("size"), F.col("sample_rate_hz")), 6).alias("budget_ms"), "n")
+
+
+@query("""WITH s AS (SELECT snippet_id, channel, n_iq, orig_sample_count, min(received_at) AS came FROM snippets GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY channel, date_trunc('hour', came) ORDER BY came, snippet_id) AS k FROM s)
+SELECT channel, date_trunc('hour', came) AS period, count(*) FILTER (WHERE k <= 4) AS n_kept, count(*) FILTER (WHERE k > 4) AS n_dropped, coalesce(sum(n_iq) FILTER (WHERE k > 4), 0)::BIGINT AS iq_dropped, coalesce(sum(orig_sample_count) FILTER (WHERE k > 4), 0)::BIGINT AS original_dropped FROM k GROUP BY 1, 2""")
+def shed_load(spark, folder):
+    """What a sink with room for four snippets an hour of each channel keeps and drops."""
+    s = table(spark, folder, "snippets").groupBy("snippet_id", "channel", "n_iq", "orig_sample_count").agg(F.min("received_at").alias("at"))
+    return sampling.shed(s, ["channel"], F.date_trunc("hour", "at"), ["at", "snippet_id"], 4, {"iq_dropped": "n_iq", "original_dropped": "orig_sample_count"})[1]
